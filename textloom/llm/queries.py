@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup, warc
+from . import ann, bpe, exact_dedup, jaccard_join, licenses, packing, quality, substring_dedup, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +39,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, _table(spark, sf_dir, "embeddings"))
 
@@ -52,6 +59,8 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
+    "op9_license_scan": op9_license_scan,
     "op10_permutation_index": op10_permutation_index,
 }
 

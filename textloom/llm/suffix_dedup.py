@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import sketch
 from .common import Workspace, clean, parallelism, rows_of, to_batch
@@ -243,12 +244,14 @@ def _halves(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False, block: int = BLOCK) -> DataFrame:
+def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False, carry: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text if wanted).
 
-    In kept_text, halves of characters that a span cuts through are left out.
+    In kept_text, halves of characters that a span cuts through are left out.  Columns
+    named in ``carry`` come along as the struct ``carried``.
     """
     ws = Workspace(spark, "suffix")
+    whole = docs
     docs = clean(docs, id=id_col, text=text_col)
     size = corpus_bytes(docs)
     bits = sketch.bits_for(size / 64)
@@ -430,6 +433,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     met = ws.save(met, "met")
 
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * keep_text)
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, spans = None, {}
@@ -449,12 +453,17 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
                 row = (i, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode("utf-8", "ignore")) if keep_text else row)
             if out:
-                yield to_batch(schema, list(zip(*out)))
+                rows = to_batch(schema, list(zip(*out)))
+                extra = batch.column(batch.schema.get_field_index("carried")).filter(batch.column(batch.schema.get_field_index("payload")).is_null())
+                yield pa.RecordBatch.from_arrays([*rows.columns, extra], names=[*schema.names, "carried"])
 
     flags = [t.where(f"kind = {_FLAG}").select("bucket", "payload") for t in (parts, distinct, solved, met)]
     verdicts = flags[0].unionByName(flags[1]).unionByName(flags[2]).unionByName(flags[3])
-    texts = docs.select(bucket_column(F.col("id"), buckets).alias("bucket"), F.lit(None).cast("binary").alias("payload"), "id", "text")
-    verdicts = verdicts.select("bucket", "payload", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"))
+    texts = whole.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), carried.alias("carried"))
+    kind = texts.schema["carried"].dataType
+    texts = texts.select(bucket_column(F.col("id"), buckets).alias("bucket"), F.lit(None).cast("binary").alias("payload"), "id", "text", "carried")
+    verdicts = verdicts.select("bucket", "payload", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(kind).alias("carried"))
     both = texts.unionByName(verdicts).withColumn("late", F.col("payload").isNull()).repartition(tasks, "bucket").sortWithinPartitions("bucket", "late").drop("late")
     ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return ws.finish(both.mapInArrow(cut, ddl).withColumnRenamed("id", id_col))
+    out = both.mapInArrow(cut, T.StructType.fromDDL(ddl).add("carried", kind)).withColumnRenamed("id", id_col)
+    return ws.finish(out if carry else out.drop("carried"))
