@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +30,8 @@ from .common import Workspace, clean, rows_of, to_batch
 
 #: Chunks whose ids a worker remembers.
 CACHE = 400_000
-#: A text with such white space is encoded whole.
-_ODD = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
+#: Marks that end a word's chunk as one pre-token of their own; the apostrophe, which starts contractions, isn't one.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_path(name: str) -> str:
@@ -64,9 +64,11 @@ class ByteBPE:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        back = {c: b for b, c in enumerate(byte_characters())}
+        self.characters = byte_characters()
+        back = {c: b for b, c in enumerate(self.characters)}
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self.wide = np.uint16 if size <= 1 << 16 else np.uint32
+        self.code = "H" if size <= 1 << 16 else "I"
         added = {i: t.content for i, t in self.lib.get_added_tokens_decoder().items()}
         self.bytes_of = [
             added[i].encode() if i in added else bytes(back[c] for c in self.lib.id_to_token(i) or "") for i in range(size)
@@ -74,6 +76,8 @@ class ByteBPE:
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.decimal = [str(i) for i in range(size)]
         self.seen: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.newline = self._merge("\n")
 
     @classmethod
     def get(cls, path: str) -> ByteBPE:
@@ -83,30 +87,57 @@ class ByteBPE:
         return cls._open[path]
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merge(self, pre_token: str) -> bytes:
+        """Ids of one pre-token, by the library's model on the bytes' characters."""
+        text = "".join(map(self.characters.__getitem__, pre_token.encode()))
+        return array(self.code, [t.id for t in self.lib.model.tokenize(text)]).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember chunks: words with marks after them by their parts, others by the library as they are."""
+        seen, others = self.seen, []
+        for c in chunks:
+            lead = c[0]
+            bare = lead == "\0" or lead == "\n"
+            body = c[1:] if bare else c
+            word = body.rstrip(_MARKS)
+            if not word.isalpha():
+                others.append(c)
+                continue
+            key = "\0" + word if bare else word
+            if (ids := seen.get(key)) is None:
+                ids = seen[key] = self._merge(word if bare else " " + word)
+            if marks := body[len(word) :]:
+                if (tail := self.marks.get(marks)) is None:
+                    tail = self.marks[marks] = self._merge(marks)
+                ids = ids + tail
+            seen[c] = self.newline + ids if lead == "\n" else ids
+        plain = [c[1:] if c[0] == "\0" else c if c[0] == "\n" else " " + c for c in others]
+        for at in range(0, len(others), 20_000):
+            seen.update(zip(others[at : at + 20_000], self._library(plain[at : at + 20_000])))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
         if len(self.seen) > CACHE:
             self.seen.clear()
+            self.marks.clear()
         # " x" is looked up as "x", "\nx" as itself, and a text's first chunk as "\0" + chunk
         cut: list[list[str] | None] = []
         whole: list[str] = []
+        new: set[str] = set()
         for text in texts:
             text = text or ""
-            if not text or "\0" in text or _ODD.search(text):
-                cut.append(None)
+            chunks = text.replace("\n", " \n").split(" ")
+            if "\0" in text or "" in chunks or "\n" in chunks or len(text.split()) != len(chunks):
+                cut.append(None)  # white space other than single spaces and newlines between words
                 whole.append(text)
             else:
-                chunks = text.replace("\n", " \n").split(" ")
                 chunks[0] = "\0" + chunks[0]
                 cut.append(chunks)
+                new.update(chunks)
         seen = self.seen
-        new = list({c for chunks in cut if chunks for c in chunks if c not in seen})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            plain = [c[1:] if c[0] == "\0" else c if c[0] == "\n" else " " + c for c in part]
-            seen.update(zip(part, self._library(plain)))
+        self._learn(new.difference(seen))
         others = iter(self._library(whole))
         get = seen.__getitem__
         return [np.frombuffer(b"".join(map(get, chunks)) if chunks else next(others), self.wide) for chunks in cut]
