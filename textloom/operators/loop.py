@@ -22,8 +22,10 @@ _EVAL = ["objective", "ai_likeness", "defects", "targets", "flags"]
 
 def _evaluated(df: DataFrame, text: str, prefix: str) -> DataFrame:
     kept = df.columns
-    out = report.evaluate(df, text, "language")
-    return out.select(*kept, *[F.col(c).alias(f"{prefix}{c}") for c in _EVAL])
+    # the report has columns of its own that df may hold from an earlier one
+    held = {c: f"_held_{c}" for c in report.COMMON if c in kept}
+    out = report.evaluate(df.withColumnsRenamed(held), text, "language")
+    return out.select(*[F.col(held.get(c, c)).alias(c) for c in kept], *[F.col(c).alias(f"{prefix}{c}") for c in _EVAL])
 
 
 def _gain(prefix: str):

@@ -401,13 +401,13 @@ def candidate_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ENTRIES = (
     "SELECT 'r' || (doc_id // 4) AS run_id, 'd' || (doc_id % 3) AS detector, CASE WHEN doc_id % 2 = 0 THEN 'before' ELSE 'after' END AS side, "
-    "((doc_id * 37) % 1000)::DOUBLE / 10 AS score, doc_id AS at FROM documents"
+    "((doc_id * 37) % 1000)::DOUBLE / 10 AS score, doc_id AS moment FROM documents"
 )
 
 
 @query(
     f"SELECT run_id, detector, before, after, {O.rounded('after - before', 1)} AS delta FROM (SELECT run_id, detector, {O.rounded('b', 1)} AS before, {O.rounded('a', 1)} AS after FROM "
-    f"(SELECT run_id, detector, arg_max(score, at) FILTER (side = 'before') AS b, arg_max(score, at) FILTER (side = 'after') AS a FROM ({_ENTRIES}) GROUP BY ALL))"
+    f"(SELECT run_id, detector, arg_max(score, moment) FILTER (side = 'before') AS b, arg_max(score, moment) FILTER (side = 'after') AS a FROM ({_ENTRIES}) GROUP BY ALL))"
 )
 def score_log_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
