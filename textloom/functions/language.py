@@ -84,23 +84,17 @@ def script_ratio(c: Column, script: str) -> Column:
 
 def script_ratio_for(c: Column, lang: Column) -> Column:
     """script_ratio for each row's language; an unknown language counts as Hindi."""
-    out = script_ratio(c, "Devanagari")
-    for script in dict.fromkeys(SCRIPT_OF.values()):
-        codes = [k for k, s in SCRIPT_OF.items() if s == script]
-        if script != "Devanagari":
-            out = F.when(lang.isin(codes), script_ratio(c, script)).otherwise(out)
-    return out
+    classes = F.create_map(*[F.lit(x) for code, script in SCRIPT_OF.items() for x in (code, in_script(script))])
+    n = letters(c)
+    hits = F.regexp_count(c, F.coalesce(classes[lang], F.lit(in_script("Devanagari"))))
+    return F.when(n == 0, F.lit(0.0)).otherwise(hits / F.greatest(n, F.lit(1)))
 
 
 def lexicon(table: dict[str, list[str]], lang: Column) -> Column:
-    """The list of the language, else of its family, else none, as an array column."""
-    none = F.array().cast("array<string>")
-    out = none
-    for code in SCRIPT_OF:
-        words = table.get(code) or table.get(SCRIPT_FAMILY.get(code, "hi"), [])
-        if words:
-            out = F.when(lang == code, F.array(*map(F.lit, words))).otherwise(out)
-    return out
+    """The list of the language, else of its family, else none: a lookup in a constant map."""
+    lists = {code: table.get(code) or table.get(SCRIPT_FAMILY.get(code, "hi"), []) for code in SCRIPT_OF}
+    known = F.create_map(*[x for code, words in lists.items() if words for x in (F.lit(code), F.array(*map(F.lit, words)))])
+    return F.coalesce(known[lang], F.array().cast("array<string>"))
 
 
 def calibrated(lang: Column) -> Column:

@@ -344,6 +344,18 @@ def defect_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "edit", F.size(gained).cast("long").alias("n_gained"), ((F.col("was") - F.col("objective") >= loop.MIN_GAIN) | (fewer >= 1)).alias("gains"))
 
 
+@query()
+def protected_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gates.check_protected(_revisions(spark, sf_dir))
+    return rows.select("doc_id", "edit", "ok", F.array_join("problems", "|").alias("problems"))
+
+
+@query()
+def protected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gates.protected_values(seeded_docs(spark, sf_dir)).select("doc_id", F.explode("protected").alias("p"))
+    return rows.select("doc_id", "p.kind", F.array_join("p.items", "|").alias("items"))
+
+
 _SQL_SPACES = rf"([^{T.SPACE}])[ \t]+([,;:!?।॥])"
 _SQL_STOP = rf"([^{T.SPACE}.0-9])[ \t]+\.({T.WS}|$)"
 
