@@ -57,15 +57,13 @@ class Workspace:
         return f"{self.path}/{name}"
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        out = self.folder(name)
+        out, schema = self.folder(name), df.schema
         w = df.write.mode("overwrite").option("compression", "zstd")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(out)
         del df
         self.release()
-        return self.spark.read.schema(self._schema(out)).parquet(out)
-
-    def _schema(self, out: str):
-        return self.spark.read.parquet(out).schema
+        # an empty table leaves no file to read the schema from
+        return self.spark.read.schema(schema).parquet(out)
 
     def release(self) -> None:
         """Let Spark drop shuffle files of plans that have ended."""
