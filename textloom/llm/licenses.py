@@ -79,7 +79,7 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 _KNOWN = [(key, re.compile(pattern)) for key, pattern in SENTENCES]
 _BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0]))
 _TRIGGER = re.compile(r"licen[sc]e|copyright|©|spdx|redistribut|permission|public domain|warrant|unencumbered", re.I)
-_END = re.compile(r"[.!?:;](?=[\s\"')]|$)|\n[\s#*/;%|]*\n")
+_END = re.compile(r"(?:[.!?;]|(?<!dentifier):)(?=[\s\"')]|$)|\n[\s#*/;%|]*\n")
 _LEAD = re.compile(r"^[\s#*/;%>|+-]*(?:\(?(?:\d{1,2}|[a-z])[.)]\s+)?[\s*-]*")
 _SPACE = re.compile(r"\s+(?:[#*/;%>|]+\s+)?")
 
@@ -94,6 +94,8 @@ def recognise(sentence: str) -> tuple[str, dict[str, str]] | None:
     s = normalise_sentence(sentence)
     for key, pattern in _KNOWN:
         if m := pattern.fullmatch(s):
+            if key == "spdx":  # identifiers keep their case
+                return key, {"name": re.search(r"(?i)identifier:\s*([\w.+-]+)", sentence)[1].rstrip(".")}
             return key, {k: v or "" for k, v in m.groupdict().items()}
     return None
 

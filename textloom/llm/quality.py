@@ -147,49 +147,53 @@ def fit(spark: SparkSession, ws: Workspace, docs: DataFrame, labels: DataFrame)
     known = known.where("quality IS NOT NULL AND toxic IS NOT NULL")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
     rows = docs.join(F.broadcast(sample), "id")  # at most TRAIN_ROWS rows
-    rows = ws.save(rows.withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2))), "train")
-    seen = pa.schema([("token", pa.string()), ("n", pa.int64()), ("poor", pa.int64()), ("toxic", pa.int64())])
+    rows = ws.save(rows.withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int")), "train")
+    seen = pa.schema([("token", pa.string()), *[(f"{c}{h}", pa.int64()) for h in (0, 1) for c in ("n", "poor", "toxic")]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, poor, toxic = Counter(), Counter(), Counter()
-            for text, q, t in zip(*rows_of(batch, "text", "quality", "toxic")):
+            counts = [Counter() for _ in range(6)]
+            for text, q, t, half in zip(*rows_of(batch, "text", "quality", "toxic", "half")):
                 tokens = {x for w in set((text or "").lower().split()) for x in evidence_tokens(w)}
-                n.update(tokens)
-                if q == 0:
-                    poor.update(tokens)
-                if t == 1:
-                    toxic.update(tokens)
-            if n:
-                yield to_batch(seen, list(zip(*((k, v, poor[k], toxic[k]) for k, v in n.items()))))
-
-    halves = rows.groupBy("half").agg(F.count("*").alias("n"), F.sum((F.col("quality") == 0).cast("int")).alias("poor"), F.sum((F.col("toxic") == 1).cast("int")).alias("toxic")).collect()
-    all_n, all_poor, all_toxic = next(((r.n, r.poor, r.toxic) for r in halves if r.half == 0), (0, 0, 0))
-    tokens = rows.where("half = 0").mapInArrow(count, "token string, n long, poor long, toxic long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "poor", "toxic")]).where(F.col("n") >= SUPPORT)
-
-    def odds(hits: str, share: float):
-        # distance of the shrunk rate from the head's share, in log odds
-        rate = (F.col(hits) + 4 * share) / (F.col("n") + 4)
-        return F.log(rate / (1 - rate)) - math.log(share / (1 - share))
-
-    shares = [min(max(h / max(1, all_n), 1e-4), 1 - 1e-4) for h in (all_poor, all_toxic)]
-    scored = tokens.withColumn("o0", odds("poor", shares[0])).withColumn("o1", odds("toxic", shares[1]))
-    weight = F.greatest(F.abs("o0"), F.abs("o1")) * F.sqrt("n")
-    best = scored.where(F.greatest("o0", "o1") > 1.0).orderBy(weight.desc(), "token").limit(LEXICON).collect()  # at most LEXICON rows
-    lexicon = Lexicon({r.token: (float(r.o0), float(r.o1)) for r in best})
-    kinds = pa.schema([("poor", pa.int64()), ("toxic", pa.int64()), ("x", pa.list_(pa.float64()))])
+                for c, hit in zip(counts[3 * half : 3 * half + 3], (True, q == 0, t == 1)):
+                    if hit:
+                        c.update(tokens)
+            words = list(counts[0] | counts[3])
+            if words:
+                yield to_batch(seen, [words, *[[c[w] for w in words] for c in counts]])
+
+    sizes = {r.half: r for r in rows.groupBy("half").agg(F.count("*").alias("n"), F.sum((F.col("quality") == 0).cast("int")).alias("poor"), F.sum((F.col("toxic") == 1).cast("int")).alias("toxic")).collect()}
+    kinds = [f.name for f in seen][1:]
+    tokens = rows.mapInArrow(count, "token string, " + ", ".join(f"{c} long" for c in kinds)).groupBy("token").agg(*[F.sum(c).alias(c) for c in kinds])
+    tokens = ws.save(tokens.where(F.col("n0") + F.col("n1") >= SUPPORT), "tokens")
+
+    def lexicon_of(halves: tuple[int, ...]) -> Lexicon:
+        total = {c: sum((F.col(f"{c}{h}") for h in halves), F.lit(0)) for c in ("n", "poor", "toxic")}
+        known = [sizes[h] for h in halves if h in sizes]
+        size = max(1, sum(r.n for r in known))
+
+        def odds(head: str):
+            # distance of the shrunk rate from the head's share, in log odds
+            share = min(max(sum(r[head] for r in known) / size, 1e-4), 1 - 1e-4)
+            rate = (F.col(head) + 4 * share) / (F.col("n") + 4)
+            return F.log(rate / (1 - rate)) - math.log(share / (1 - share))
+
+        scored = tokens.select("token", *[v.alias(c) for c, v in total.items()]).where(F.col("n") >= SUPPORT).select("token", "n", odds("poor").alias("o0"), odds("toxic").alias("o1"))
+        weight = F.greatest(F.abs("o0"), F.abs("o1")) * F.sqrt("n")
+        best = scored.where(F.greatest("o0", "o1") > 1.0).orderBy(weight.desc(), "token").limit(LEXICON).collect()  # at most LEXICON rows
+        return Lexicon({r.token: (float(r.o0), float(r.o1)) for r in best})
+
+    across = (lexicon_of((1,)), lexicon_of((0,)))  # each half is seen through the other's
+    out = pa.schema([("poor", pa.int64()), ("toxic", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, q, t = rows_of(batch, "text", "quality", "toxic")
-            yield to_batch(kinds, [[int(v == 0) for v in q], [int(v == 1) for v in t], [lexicon.features(x or "") for x in texts]])
+            texts, q, t, half = rows_of(batch, "text", "quality", "toxic", "half")
+            yield to_batch(out, [[int(v == 0) for v in q], [int(v == 1) for v in t], [across[h].features(x or "") for x, h in zip(texts, half)]])
 
-    got = rows.where("half = 1").mapInArrow(features, "poor long, toxic long, x array<double>").toArrow()  # at most TRAIN_ROWS rows
+    got = rows.mapInArrow(features, "poor long, toxic long, x array<double>").toArrow()  # at most TRAIN_ROWS rows
     x = np.array(got.column("x").to_pylist() or np.zeros((0, 19)), float)
-    return lexicon, Head(x, np.array(got.column("poor").to_pylist(), float)), Head(x, np.array(got.column("toxic").to_pylist(), float))
-
-
-_SCORED = pa.schema([("n", pa.int64()), ("poor", pa.float64()), ("toxic", pa.float64()), ("good", pa.float64())])
+    return lexicon_of((0, 1)), Head(x, np.array(got.column("poor").to_pylist(), float)), Head(x, np.array(got.column("toxic").to_pylist(), float))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
