@@ -73,4 +73,23 @@ WITH n AS (
 )
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
 FROM n JOIN g ON n.t = g.t""",
+    "op6_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w
+), windows AS (
+  SELECT doc_id, pos, string_agg(word, ' ') OVER thirteen AS g, count(*) OVER thirteen AS n
+  FROM words WINDOW thirteen AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), keyed AS (
+  SELECT doc_id, pos, md5(g) AS h FROM windows WHERE n = 13
+), least AS (
+  SELECT h, min(doc_id) AS d FROM keyed GROUP BY h
+), gone AS (
+  SELECT DISTINCT k.doc_id, k.pos + o AS pos FROM keyed k JOIN least USING (h) CROSS JOIN range(13) AS r(o) WHERE k.doc_id > d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""",
 }
