@@ -48,8 +48,8 @@ def test_language_without_letters(spark):
 
 def test_cleanup_leaves_protected_values(spark):
     r = cleanup.apply_rules(one(spark, text="See https://x.org/in order to , take 5 mg .", language="en")).first()
-    assert r.cleaned == "See https://x.org/in order to, take 5 mg." or "https://x.org/in" in r.cleaned
-    assert [e.rule for e in r.edits][0] == "sp_punct_1k"
+    assert r.cleaned == "See https://x.org/in order to, take 5 mg."
+    assert [(e.rule, e["count"]) for e in r.edits] == [("sp_punct_1k", 2)]
 
 
 def test_leaderboard_and_log(spark):
