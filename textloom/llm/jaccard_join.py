@@ -16,12 +16,14 @@ already (which lowers the bound for what is left), and sets that have under t of
 their shingles in common with any others leave early.  No link is lost.
 
 Equal sets are one: all work is on distinct sets.  Within a signature's list, not
-all pairs are made: members are verified against a leader, in rounds with
-different leaders, and lists shrink to those that still hold members of different
-components.  Only pairs across components that share a signature are then
-verified one by one, so every link that could join components has been looked at.
-Lists are kept by block of documents, and each block reports a signature once, so
-a list that a third of all rows are in doesn't meet in one task.
+all pairs are made: each member is verified against the leader it shares most
+signatures with, in rounds with different leaders, and lists shrink to those that
+still hold members of different components.  Then every pair across components that
+shares a signature is looked at, so no link that could join components is lost:
+first by its parity bitmaps, which differ in at most as many bits as the sets differ
+in elements, and, if they allow the link, exactly.  Lists are kept by block of
+documents, and each block reports a signature once, so a list that a third of all
+rows are in doesn't meet in one task before it has shrunk.
 
 A document's set: distinct k-word shingles of its text, A-Z lower-cased; with fewer
 words, all words as one; without words or text it is empty and linked with
@@ -54,7 +56,9 @@ WORD_BYTES = 6
 BLOCK = 2_000_000
 PER_BUCKET = 1_000_000
 #: Rounds of leaders before single pairs.
-ROUNDS = 4
+ROUNDS = 3
+#: Bits of a set's parity bitmap.
+PARITY = 1024
 #: Segments per unit of the bound; the spare ones leave a choice.
 SPARE = 1.5
 #: Bands up to this size index one-deletion neighbourhoods of all segments, others of each eighth.
@@ -185,6 +189,12 @@ def set_key(elements: np.ndarray, seed: int) -> tuple[int, int]:
 
 _FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), *sketch.CELLS])
 _FIRST_DDL = "kind int, id long, n long, k1 long, k2 long, " + sketch.CELLS_DDL
+def parity(elements: np.ndarray) -> np.ndarray:
+    """One bit per hash bucket: whether an odd number of elements falls into it."""
+    n = np.bincount((mix(elements + _U(0x2545F491)) >> _U(40)).astype(np.int64) % PARITY, minlength=PARITY)
+    return np.packbits((n & 1).astype(np.uint8))
+
+
 _SET, _LIST, _SUM, _HARD, _HAS = 0, 1, 2, 3, 4
 _ROW = pa.schema([("kind", pa.int32()), ("src", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("s", pa.int64()), ("n", pa.int64())])
 _ROW_DDL = "kind int, src long, bucket int, payload binary, s long, n long"
@@ -252,41 +262,54 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         ws.drop("second")
         second = ws.save(docs.mapInArrow(_second_pass(shingle, table, bits, seed, num, den, buckets, wanted), _ROW_DDL), "second-all", ["kind"])
 
-    sets = second.where(f"kind = {_SET}").select("s", "n", "payload")
+    # a set that several blocks hold is written by each; one copy does
+    sets = second.where(f"kind = {_SET}").groupBy("s").agg(F.first("payload").alias("payload"), F.first("n").alias("n"))
+    sets = ws.save(sets, "sets")
     lists = second.where(f"kind = {_LIST}").select("src", "payload")
-    has = second.where(f"kind = {_HAS}").select("src", "s")
+    has = second.where(f"kind = {_HAS}").select("src", "s", "n", "payload")
     sums = second.where(f"kind = {_SUM}").select("bucket", "payload")
     labels = None
-    links = None
+
+    def settle(turn: int) -> DataFrame:
+        return ws.save(sums.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, "src long, payload binary"), f"answers{turn}")
+
+    def joined(found: DataFrame, name: str) -> DataFrame:
+        """Components after more links: those so far stand for the links that made them."""
+        links = found if labels is None else found.unionByName(labels.where("v != c").select(F.col("v").alias("a"), F.col("c").alias("b")))
+        return components(ws, links, name)
+
     for turn in range(1, ROUNDS + 1):
-        answers = ws.save(sums.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, "src long, payload binary"), f"answers{turn}")
+        answers = settle(turn)
         if not answers.limit(1).count():
             lists = None
             break
         both = lists.select("src", F.lit(1).alias("late"), "payload").unionByName(answers.select("src", F.lit(0).alias("late"), "payload"))
         star = ws.save(both.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_star, _PAIR_DDL), f"star{turn}", ["kind"])
-        pairs = star.where(f"kind = {_SUM}").select("a", "b").distinct()
-        found = ws.save(_verified(pairs, sets, num, den), f"found{turn}")
-        links = found if links is None else links.unionByName(found)
+        found = ws.save(_verified(star.where(f"kind = {_SUM}").select("a", "b").distinct(), sets, num, den), f"found{turn}")
         if found.limit(1).count():
-            labels = components(ws, links, f"round{turn}")
+            labels = joined(found, f"round{turn}")
         # lists that hold several components, with the components as they are now
-        named = has.join(labels, has.s == labels.v).select("src", F.lit(0).alias("late"), F.lit(None).cast("binary").alias("payload"), "s", "c") if labels is not None else None
         rest = star.where(f"kind = {_LIST}").select("src", F.lit(1).alias("late"), "payload", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("c"))
-        both = rest if named is None else rest.unionByName(named)
-        again = ws.save(both.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_relabel(buckets, turn + 1), _ROW_DDL), f"again{turn}", ["kind"])
+        if labels is not None:
+            named = has.join(labels, has.s == labels.v).select("src", F.lit(0).alias("late"), F.lit(None).cast("binary").alias("payload"), "s", "c")
+            rest = rest.unionByName(named)
+        again = ws.save(rest.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_relabel(buckets, turn + 1), _ROW_DDL), f"again{turn}", ["kind"])
         lists = again.where(f"kind = {_LIST}").select("src", "payload")
         sums = again.where(f"kind = {_SUM}").select("bucket", "payload")
+        ws.drop(f"answers{turn}", f"star{turn}", f"again{turn - 1}")
     if lists is not None:
         # what is left: pairs across components in a signature's list, one by one
-        answers = ws.save(sums.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, "src long, payload binary"), "answers")
-        both = lists.select("src", F.lit(1).alias("late"), "payload").unionByName(answers.select("src", F.lit(0).alias("late"), "payload"))
-        rest = ws.save(both.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_open_rows(buckets), _PAIR_DDL), "open")
-        pairs = rest.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_cross, "a long, b long").distinct()
+        answers = settle(0)
+        none = F.lit(None).cast("long")
+        both = has.select("src", F.lit(0).alias("late"), "payload", "s", "n")
+        both = both.unionByName(answers.select("src", F.lit(1).alias("late"), "payload", none.alias("s"), none.alias("n")))
+        both = both.unionByName(lists.select("src", F.lit(2).alias("late"), "payload", none.alias("s"), none.alias("n")))
+        rest = both.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_open_rows(buckets), "bucket int, payload binary")
+        rest = ws.save(rest, "open")
+        pairs = rest.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_cross(num, den), "a long, b long").distinct()
         found = ws.save(_verified(pairs, sets, num, den), "found")
-        links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
-            labels = components(ws, links, "last")
+            labels = joined(found, "last")
 
     # distinct sets, their components, and the least document of each
     groups = members.where("n > 0").groupBy("k1").agg(F.min("id").alias("least"))
@@ -360,7 +383,7 @@ def _second_pass(shingle: int, table, bits: int, seed: int, num: int, den: int,
                 return
             alone = n - len(common)
             rows.append((_SET, None, None, common.tobytes(), s, n))
-            rows.append((_HAS, src, None, None, s, None))
+            rows.append((_HAS, src, None, parity(elements).tobytes(), s, n))
             mixed = mix(common ^ _U(0xA0761D6478BD642F))
             own = bands.of(n)
             for b in range(bands.of(-(-n * num // den)), own + 1):
@@ -485,7 +508,13 @@ def _answered(batches: Iterator[pa.RecordBatch]):
 def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for src, k, s, c, r, lead, comp in _answered(batches):
         other = (c != comp) & (s != lead)
-        pairs = np.unique(np.stack((np.minimum(s[other], lead[other]), np.maximum(s[other], lead[other])), 1), axis=0)
+        # each set goes with the leader it shares most signatures with
+        pairs, shared = np.unique(np.stack((s[other], lead[other]), 1), axis=0, return_counts=True)
+        order = np.lexsort((pairs[:, 1], -shared, pairs[:, 0]))
+        pairs = pairs[order]
+        first = np.ones(len(pairs), bool)
+        first[1:] = pairs[1:, 0] != pairs[:-1, 0]
+        pairs = np.sort(pairs[first], axis=1)
         n = len(pairs)
         if n:
             yield to_batch(_PAIR, [[_SUM] * n, pairs[:, 0], pairs[:, 1], [src] * n, [None] * n, [None] * n])
@@ -513,53 +542,97 @@ def _relabel(buckets: int, turn: int):
     return run
 
 
+_OPEN = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
+
+
 def _open_rows(buckets: int):
+    """Open lists by bucket of signatures, with the sizes and parity bitmaps of their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for src, k, s, c, r, _, _ in _answered(batches):
-            order = np.argsort(k, kind="stable")
-            k, s, c, r = k[order], s[order], c[order], r[order]
-            to = _buckets(k, buckets)
-            edges = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
-            rows = [(_LIST, None, None, src, int(to[a]), _lists(k[a:b], s[a:b], c[a:b], r[a:b])) for a, b in zip(edges, edges[1:])]
-            for at in range(0, len(rows), 100):
-                yield to_batch(_PAIR, list(zip(*rows[at : at + 100])))
+        now, answers, known = None, [], {}
+        for batch in batches:
+            for src, late, payload, one, size in zip(*rows_of(batch, "src", "late", "payload", "s", "n")):
+                if src != now:
+                    now, answers, known = src, [], {}
+                if late == 0:
+                    known[one] = (size, payload)
+                elif late == 1:
+                    answers.append(payload)
+                elif answers:
+                    keys = np.sort(np.concatenate([_unanswers(a)[0] for a in answers]))
+                    k, s, c, r = _unlists(payload)
+                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                    hit = np.flatnonzero(keys[at] == k)
+                    hit = hit[np.argsort(k[hit], kind="stable")]
+                    k, s, c, r = k[hit], s[hit], c[hit], r[hit]
+                    to = _buckets(k, buckets)
+                    edges = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
+                    rows = []
+                    for a, b in zip(edges, edges[1:]):
+                        own, where = np.unique(s[a:b], return_inverse=True)
+                        sizes = np.array([known[x][0] for x in own.tolist()], np.int64)
+                        head = np.array([b - a, len(own)], np.int64)
+                        parts = (head, k[a:b], c[a:b], where.astype(np.int64), own, sizes, r[a:b])
+                        rows.append((int(to[a]), b"".join([x.tobytes() for x in parts] + [known[x][1] for x in own.tolist()])))
+                    for x in range(0, len(rows), 100):
+                        yield to_batch(_OPEN, list(zip(*rows[x : x + 100])))
 
     return run
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components that share a signature, one as an index entry and one as a probe; each pair of a bucket once."""
+def _read_open(packed: bytes) -> tuple[np.ndarray, ...]:
+    n, m = (int(x) for x in np.frombuffer(packed, np.int64, 2))
+    at, out = 16, []
+    for kind, size in ((np.uint64, n), (np.int64, n), (np.int64, n), (np.int64, m), (np.int64, m), (np.uint8, n)):
+        out.append(np.frombuffer(packed, kind, size, at))
+        at += size * np.dtype(kind).itemsize
+    return (*out, np.frombuffer(packed[at:], np.uint64).reshape(m, PARITY // 64))
+
+
+def _cross(num: int, den: int):
+    """Pairs across components that share a signature, one as an index entry and one as a probe, if sizes and parities allow a link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    now, held = None, []
 
-    def close():
-        k, s, c, r = (np.concatenate(x) for x in zip(*map(_unlists, held)))
-        order = np.lexsort((s, k))
-        k, s, c, r = k[order], s[order], c[order], r[order]
+    def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [_read_open(p) for p in held]
+        base = np.cumsum([0, *(len(p[3]) for p in parts)])
+        k, c, r = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 5))
+        where = np.concatenate([p[2] + b for p, b in zip(parts, base)])
+        own, sizes, bits = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 6))
+        order = np.lexsort((own[where], k))
+        k, c, r, where = k[order], c[order], r[order], where[order]
         told: set[tuple[int, int]] = set()
         edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
         for a, b in zip(edges, edges[1:]):
-            probe = np.flatnonzero(r[a:b] & PROBE) + a
             index = np.flatnonzero(r[a:b] & INDEX) + a
-            for i in probe.tolist():
-                other = index[c[index] != c[i]]
-                me = int(s[i])
-                new = {(min(me, x), max(me, x)) for x in s[other].tolist()} - told
-                if new:
-                    told |= new
-                    yield to_batch(schema, list(zip(*new)))
-            if len(told) > 1_000_000:
+            for i in (np.flatnonzero(r[a:b] & PROBE) + a).tolist():
+                at = where[index[c[index] != c[i]]]
+                mine = where[i]
+                n, other = int(sizes[mine]), sizes[at]
+                at = at[np.minimum(n, other) * den >= np.maximum(n, other) * num]
+                apart = np.bitwise_count(bits[at] ^ bits[mine]).sum(axis=1, dtype=np.int64)
+                at = at[apart <= (n + sizes[at]) * (den - num) // (den + num)]
+                me = int(own[mine])
+                told.update((min(me, x), max(me, x)) for x in own[at].tolist())
+            if len(told) > 100_000:
+                yield to_batch(schema, list(zip(*told)))
                 told.clear()
+        if told:
+            yield to_batch(schema, list(zip(*told)))
 
-    for batch in batches:
-        for bucket, payload in zip(*rows_of(batch, "bucket", "payload")):
-            if bucket != now and held:
-                yield from close()
-                held = []
-            now = bucket
-            held.append(payload)
-    if held:
-        yield from close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, payload in zip(*rows_of(batch, "bucket", "payload")):
+                if bucket != now and held:
+                    yield from close(held)
+                    held = []
+                now = bucket
+                held.append(payload)
+        if held:
+            yield from close(held)
+
+    return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -579,10 +652,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             if out:
                 yield to_batch(schema, list(zip(*out)))
 
-    # a set that several blocks hold is written by each; one copy does
-    one = sets.groupBy("s").agg(F.first("payload").alias("payload"), F.first("n").alias("n"))
-    left = one.select(F.col("s").alias("a"), F.col("payload").alias("x"), F.col("n").alias("m"))
-    right = one.select(F.col("s").alias("b"), F.col("payload").alias("y"), "n")
+    left = sets.select(F.col("s").alias("a"), F.col("payload").alias("x"), F.col("n").alias("m"))
+    right = sets.select(F.col("s").alias("b"), F.col("payload").alias("y"), "n")
     # sizes alone rule out some pairs
     near = (F.least("m", "n") * den) >= (F.greatest("m", "n") * num)
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "m", "y", "n").mapInArrow(run, "a long, b long")
