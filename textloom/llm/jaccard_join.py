@@ -18,9 +18,10 @@ their shingles in common with any others leave early.  No link is lost.
 Equal sets are one: all work is on distinct sets.  Within a signature's list, not
 all pairs are made: each member is verified against the leader it shares most
 signatures with, in rounds with different leaders, and lists shrink to those that
-still hold members of different components.  Then every pair across components that
-shares a signature is looked at, so no link that could join components is lost:
-first by its parity bitmaps, which differ in at most as many bits as the sets differ
+still hold members of different components.  Further rounds verify each set against
+the closest one of another component in a few of its lists, until no components
+join.  Then every pair across components that shares a signature is looked at, so no
+link that could join components is lost: first by its parity bitmaps, which differ in at most as many bits as the sets differ
 in elements, and, if they allow the link, exactly.  Lists are kept by block of
 documents, and each block reports a signature once, so a list that a third of all
 rows are in doesn't meet in one task before it has shrunk.
@@ -56,7 +57,9 @@ WORD_BYTES = 6
 BLOCK = 2_000_000
 PER_BUCKET = 1_000_000
 #: Rounds of leaders before single pairs.
-ROUNDS = 3
+ROUNDS = 2
+#: At most so many rounds of closest sets, looking into so many of a set's lists.
+CLOSEST_ROUNDS, HOMES = 6, 4
 #: Bits of a set's parity bitmap.
 PARITY = 1024
 #: Segments per unit of the bound; the spare ones leave a choice.
@@ -65,7 +68,7 @@ SPARE = 1.5
 SMALL = 48
 
 _U = np.uint64
-INDEX, PROBE = 1, 2
+INDEX, PROBE, HOME = 1, 2, 4
 
 
 def bound(a: int, b: int, num: int = NUM, den: int = DEN) -> int:
@@ -278,6 +281,16 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         links = found if labels is None else found.unionByName(labels.where("v != c").select(F.col("v").alias("a"), F.col("c").alias("b")))
         return components(ws, links, name)
 
+    def renamed(rest: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Lists with the components as they are now, and their summaries."""
+        rest = rest.select("src", F.lit(1).alias("late"), "payload", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("c"))
+        if labels is not None:
+            named = has.join(labels, has.s == labels.v).select("src", F.lit(0).alias("late"), F.lit(None).cast("binary").alias("payload"), "s", "c")
+            rest = rest.unionByName(named)
+        again = ws.save(rest.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_relabel(buckets, turn + 1), _ROW_DDL), f"again{turn}", ["kind"])
+        return again.where(f"kind = {_LIST}").select("src", "payload"), again.where(f"kind = {_SUM}").select("bucket", "payload")
+
+    found = sets  # anything but None: the closest sets haven't been asked for yet
     for turn in range(1, ROUNDS + 1):
         answers = settle(turn)
         if not answers.limit(1).count():
@@ -288,28 +301,31 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         found = ws.save(_verified(star.where(f"kind = {_SUM}").select("a", "b").distinct(), sets, num, den), f"found{turn}")
         if found.limit(1).count():
             labels = joined(found, f"round{turn}")
-        # lists that hold several components, with the components as they are now
-        rest = star.where(f"kind = {_LIST}").select("src", F.lit(1).alias("late"), "payload", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("c"))
-        if labels is not None:
-            named = has.join(labels, has.s == labels.v).select("src", F.lit(0).alias("late"), F.lit(None).cast("binary").alias("payload"), "s", "c")
-            rest = rest.unionByName(named)
-        again = ws.save(rest.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_relabel(buckets, turn + 1), _ROW_DDL), f"again{turn}", ["kind"])
-        lists = again.where(f"kind = {_LIST}").select("src", "payload")
-        sums = again.where(f"kind = {_SUM}").select("bucket", "payload")
+        lists, sums = renamed(star.where(f"kind = {_LIST}").select("src", "payload"), turn)
         ws.drop(f"answers{turn}", f"star{turn}", f"again{turn - 1}")
-    if lists is not None:
-        # what is left: pairs across components in a signature's list, one by one
-        answers = settle(0)
+    turn = ROUNDS
+    while lists is not None:
+        # what is left: pairs across components in a signature's list; the closest ones first, all in the end
+        turn += 1
+        closest = turn <= ROUNDS + CLOSEST_ROUNDS and found is not None
+        answers = settle(turn)
         none = F.lit(None).cast("long")
         both = has.select("src", F.lit(0).alias("late"), "payload", "s", "n")
         both = both.unionByName(answers.select("src", F.lit(1).alias("late"), "payload", none.alias("s"), none.alias("n")))
         both = both.unionByName(lists.select("src", F.lit(2).alias("late"), "payload", none.alias("s"), none.alias("n")))
-        rest = both.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_open_rows(buckets), "bucket int, payload binary")
-        rest = ws.save(rest, "open")
-        pairs = rest.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_cross(num, den), "a long, b long").distinct()
-        found = ws.save(_verified(pairs, sets, num, den), "found")
+        rest = both.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_open_rows(buckets, turn), "bucket int, payload binary")
+        rest = ws.save(rest, f"open{turn}")
+        pairs = rest.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_cross(num, den, closest), "a long, b long").distinct()
+        found = ws.save(_verified(pairs, sets, num, den), f"found{turn}")
         if found.limit(1).count():
-            labels = joined(found, "last")
+            labels = joined(found, f"round{turn}")
+        else:
+            found = None
+        if not closest:
+            break
+        if found is not None:
+            lists, sums = renamed(lists, turn)
+        ws.drop(f"answers{turn}", f"open{turn}")
 
     # distinct sets, their components, and the least document of each
     groups = members.where("n > 0").groupBy("k1").agg(F.min("id").alias("least"))
@@ -545,7 +561,19 @@ def _relabel(buckets: int, turn: int):
 _OPEN = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
-def _open_rows(buckets: int):
+def _homes(keys: np.ndarray, sets: np.ndarray, roles: np.ndarray, turn: int) -> np.ndarray:
+    """Roles with a mark on a few probes of each set, other ones in each turn."""
+    probe = np.flatnonzero(roles & PROBE)
+    luck = mix(keys[probe] ^ _U(turn * 0x9E3779B97F4A7C15 % (1 << 64)))
+    order = np.lexsort((luck, sets[probe]))
+    first = np.flatnonzero(np.diff(sets[probe][order], prepend=sets[probe][order][:1] - 1) != 0) if len(probe) else probe
+    place = np.arange(len(probe)) - np.repeat(first, np.diff(first, append=len(probe)))
+    out = roles.copy()
+    out[probe[order[place < HOMES]]] |= HOME
+    return out
+
+
+def _open_rows(buckets: int, turn: int):
     """Open lists by bucket of signatures, with the sizes and parity bitmaps of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -565,6 +593,7 @@ def _open_rows(buckets: int):
                     hit = np.flatnonzero(keys[at] == k)
                     hit = hit[np.argsort(k[hit], kind="stable")]
                     k, s, c, r = k[hit], s[hit], c[hit], r[hit]
+                    r = _homes(k, s, r, turn)
                     to = _buckets(k, buckets)
                     edges = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
                     rows = []
@@ -589,8 +618,11 @@ def _read_open(packed: bytes) -> tuple[np.ndarray, ...]:
     return (*out, np.frombuffer(packed[at:], np.uint64).reshape(m, PARITY // 64))
 
 
-def _cross(num: int, den: int):
-    """Pairs across components that share a signature, one as an index entry and one as a probe, if sizes and parities allow a link."""
+def _cross(num: int, den: int, closest: bool):
+    """Pairs across components that share a signature, one as an index entry and one as a probe, if sizes and parities allow a link.
+
+    ``closest``: for marked probes only, with the set whose parity differs least.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -605,13 +637,16 @@ def _cross(num: int, den: int):
         edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
         for a, b in zip(edges, edges[1:]):
             index = np.flatnonzero(r[a:b] & INDEX) + a
-            for i in (np.flatnonzero(r[a:b] & PROBE) + a).tolist():
+            for i in (np.flatnonzero(r[a:b] & (HOME if closest else PROBE)) + a).tolist():
                 at = where[index[c[index] != c[i]]]
                 mine = where[i]
                 n, other = int(sizes[mine]), sizes[at]
                 at = at[np.minimum(n, other) * den >= np.maximum(n, other) * num]
                 apart = np.bitwise_count(bits[at] ^ bits[mine]).sum(axis=1, dtype=np.int64)
-                at = at[apart <= (n + sizes[at]) * (den - num) // (den + num)]
+                fine = apart <= (n + sizes[at]) * (den - num) // (den + num)
+                at, apart = at[fine], apart[fine]
+                if closest and len(at):
+                    at = at[[np.argmin(apart)]]
                 me = int(own[mine])
                 told.update((min(me, x), max(me, x)) for x in own[at].tolist())
             if len(told) > 100_000:
