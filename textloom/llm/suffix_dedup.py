@@ -240,6 +240,22 @@ def _flag_rows(spans: dict[tuple[int, int], list[tuple[int, int]]], buckets: int
     return out
 
 
+def _digest_rows(found: list[tuple[int, int, int, int, int, bool]], buckets: int) -> list[tuple]:
+    """Window digests with (id, text hash, start, known to be repeated), packed by bucket of digest."""
+    if not found:
+        return []
+    d1, d2, ids, h, p = (np.array(x, np.int64) for x in list(zip(*found))[:5])
+    known = np.array([f[5] for f in found], np.uint8)
+    to = d1 % buckets
+    order = np.argsort(to, kind="stable")
+    edges = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        at = order[a:b]
+        out.append((_DIGEST, int(to[at[0]]), pack_pairs(ids[at], d1[at], d2[at], h[at], p[at], known[at]), *[None] * 8))
+    return out
+
+
 def _halves(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
@@ -382,8 +398,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
                             if c in told:
                                 continue
                             told.add(c)
-                        out.append((_DIGEST, None, None, *_halves(xxhash.xxh3_128_digest(body[j : j + length])), anchor, i, h, p + j, 1, known))
-            return out + _flag_rows(spans, buckets)
+                        out.append((*_halves(xxhash.xxh3_128_digest(body[j : j + length])), i, h, p + j, known))
+            return _digest_rows(out, buckets) + _flag_rows(spans, buckets)
 
         last = None
         for batch in batches:
@@ -406,30 +422,33 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     solved = ws.save(ranged.mapInArrow(blocks, _ROW_DDL), "solved", ["kind"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by window digest, at most one from each block."""
-        spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        held: list[tuple] = []
+        """Digests come by bucket, each at most once from a block."""
+        now, held = None, []
 
         def close():
-            if len(held) > 1 or held[0][-1]:
-                for r in held:
-                    if not r[-1]:
-                        spans[r[4], r[5]].append((r[6], r[6] + length))
+            kinds = (*[np.int64] * 4, np.uint8)
+            ids, d1, d2, h, p, known = (np.concatenate(x) for x in zip(*[unpack_pairs(x, *kinds) for x in held]))
+            order = np.lexsort((d2, d1))
+            ids, d1, d2, h, p, known = (x[order] for x in (ids, d1, d2, h, p, known))
+            first = np.flatnonzero(np.concatenate(([True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]))))
+            size = np.diff(first, append=len(d1))
+            again = np.repeat((size > 1) | (np.maximum.reduceat(known, first) > 0), size) & (known == 0)
+            spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            for i, x, a in zip(ids[again].tolist(), h[again].tolist(), p[again].tolist()):
+                spans[i, x].append((a, a + length))
+            return _emit(_flag_rows(spans, buckets))
 
         for batch in batches:
-            for row in zip(*rows_of(batch, *cols)):
-                if held and row[1:3] != held[0][1:3]:
-                    close()
+            for bucket, payload in zip(*rows_of(batch, "bucket", "payload")):
+                if bucket != now and held:
+                    yield from close()
                     held = []
-                held.append(row)
-            if len(spans) > 20_000:
-                yield from _emit(_flag_rows(spans, buckets))
-                spans.clear()
+                now = bucket
+                held.append(payload)
         if held:
-            close()
-        yield from _emit(_flag_rows(spans, buckets))
+            yield from close()
 
-    met = solved.where(f"kind = {_DIGEST}").select(*cols).repartition(tasks, "d1", "d2").sortWithinPartitions("d1", "d2").mapInArrow(meet, _ROW_DDL)
+    met = solved.where(f"kind = {_DIGEST}").select("bucket", "payload").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _ROW_DDL)
     met = ws.save(met, "met")
 
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * keep_text)
