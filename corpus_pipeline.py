@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: filter, dedup exactly, nearly and by passages, pack.
 
 Each stage works on all that its predecessor kept, and its decisions take effect.
-Rows that repeat an id share the decision on it; rows without an id do, too.
+A decision is on a row, also where ids repeat or are null: rows have keys of their own.
 """
 
 from __future__ import annotations
@@ -13,24 +13,43 @@ from textloom.llm import exact_dedup, jaccard_join, packing, quality, suffix_ded
 from textloom.llm.common import Workspace
 
 
-def _staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in ``ids``; null is an id like others."""
-    ids = ids.select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, written so that all readers see the same keys, and the key's name."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    return Workspace(spark, "rows").save(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def _staying(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """Rows whose key is in ``kept``."""
+    return rows.join(kept.select(row), row, "left_semi").drop(row)
+
+
+def _one_of_each(rows: DataFrame, row: str, groups: DataFrame, group: str, best, first) -> DataFrame:
+    """The key of one row of each group: the least or greatest, by ``best``, of (first, id, key)."""
+    own = rows.select(row, F.struct(first.alias("first"), "doc_id", row).alias("own"))
+    return groups.select(row, group).join(own, row).groupBy(group).agg(best("own").alias("own")).select(F.col(f"own.{row}").alias(row))
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _staying(docs, quality.classify(spark, docs, labels).where("kept"))
+    rows, row = _numbered(spark, docs)
+    return _staying(rows, row, quality.classify(spark, rows, labels, row_col=row).where("kept"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _staying(docs, exact_dedup.exact_dedup(spark, docs).where("kept"))
+    """Of each set of equal texts, one row with the greatest id stays; null is less than any."""
+    rows, row = _numbered(spark, docs)
+    groups = exact_dedup.exact_dedup(spark, rows, id_col=row)
+    return _staying(rows, row, _one_of_each(rows, row, groups, "keep_id", F.max, F.col("doc_id").isNotNull()))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.jaccard_join(spark, docs)
-    return _staying(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each component, one row with the least id stays; null is greater than any."""
+    rows, row = _numbered(spark, docs)
+    groups = jaccard_join.jaccard_join(spark, rows, id_col=row)
+    return _staying(rows, row, _one_of_each(rows, row, groups, "component_id", F.min, F.col("doc_id").isNull()))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -460,3 +460,29 @@ def test_pipeline_stages(spark):
     assert all(len(texts[r.doc_id].encode()) - len(r.text.encode()) - want[r.doc_id] in range(0, 8) for r in after.collect())
     tokens = seen["packing"][1].groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("d"))
     assert tokens.where("n <> d").count() == 0 and tokens.count() == after.count()
+
+
+def test_pipeline_decides_on_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    text = lambda: " ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(90))
+    same, null_copy, near = text(), text(), text()
+    rows = [(1, same), (1, same), (2, null_copy), (None, null_copy), (None, text()), (None, text()), (3, near), (3, near + " end"), (None, near + " tail"), (4, ""), (4, text()), (4, text())]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    once = corpus_pipeline.drop_copies(spark, docs, "")
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted([*rows[1:3], *rows[4:]], key=repr)
+    last = corpus_pipeline.drop_near_copies(spark, once, "")
+    got = sorted(map(tuple, last.collect()), key=repr)
+    some = [r for r in got if r[1].startswith(near)]
+    assert len(some) == 1 and some[0][0] == 3
+    assert [r for r in got if r not in some] == sorted([*rows[1:3], *rows[4:6], *rows[9:]], key=repr)
+    cut = corpus_pipeline.cut_passages(spark, last, "")
+    assert sorted(map(tuple, cut.collect()), key=repr) == got
+    # rejected rows share the id, or its lack, with kept ones
+    bad = [(i, "junk! " * 80, "en", "s", 480) for i in (None, 5, *range(100, 160))]
+    good = [(i, text(), "en", "s", 480) for i in (None, 5, *range(200, 260))]
+    spark.createDataFrame([(i, 0, 0) for i in range(100, 160)] + [(i, 1, 0) for i in range(200, 260)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(bad + good, docs.schema).repartition(3)
+    assert sorted(map(tuple, corpus_pipeline.filter_quality(spark, docs, str(tmp_path)).collect()), key=repr) == sorted(good, key=repr)

@@ -196,13 +196,14 @@ def fit(spark: SparkSession, ws: Workspace, docs: DataFrame, labels: DataFrame)
     return lexicon_of((0, 1)), Head(x, np.array(got.column("poor").to_pylist(), float)), Head(x, np.array(got.column("toxic").to_pylist(), float))
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """One row per input row: id, p_poor, p_toxic, host_posterior, path_posterior, posterior, kept."""
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", row_col: str | None = None) -> DataFrame:
+    """One row per input row: id, p_poor, p_toxic, host_posterior, path_posterior, posterior, kept; ``row_col``, if given, tells rows apart and is handed on."""
     ws = Workspace(spark, "quality")
-    docs = clean(docs, id=id_col, text=text_col, host=host_col, path=path_col)
+    own = {"row": row_col} if row_col else {}
+    docs = clean(docs, id=id_col, text=text_col, host=host_col, path=path_col, **own)
     labels = labels.select(F.col(id_col).alias("id"), "quality", "toxic")
     lexicon, poor, toxic = fit(spark, ws, docs.select("id", "text"), labels)
-    schema = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("poor", pa.float64()), ("toxic", pa.float64()), ("good", pa.float64())])
+    schema = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("poor", pa.float64()), ("toxic", pa.float64()), ("good", pa.float64()), *[(c, pa.int64()) for c in own]])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,9 +211,9 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
             x = np.array([lexicon.features(t or "") for t in texts], float).reshape(len(texts), -1)
             if len(x):
                 a, b = poor.predict(x), toxic.predict(x)
-                yield to_batch(schema, [ids, [h or "" for h in hosts], [p or "" for p in paths], a, b, np.clip((1 - a) * (1 - b), 1e-6, 1 - 1e-6)])
+                yield to_batch(schema, [ids, [h or "" for h in hosts], [p or "" for p in paths], a, b, np.clip((1 - a) * (1 - b), 1e-6, 1 - 1e-6), *rows_of(batch, *own)])
 
-    scored = ws.save(docs.mapInArrow(score, "id long, host string, path string, poor double, toxic double, good double"), "scored")
+    scored = ws.save(docs.mapInArrow(score, "id long, host string, path string, poor double, toxic double, good double" + ", row long" * len(own)), "scored")
     paths = ws.save(scored.groupBy("host", "path").agg(F.count("*").alias("pn"), F.sum("good").alias("ps")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("pn").alias("hn"), F.sum("ps").alias("hs"))
     # strengths of the priors, from the spread of group means beyond that of their members
@@ -239,6 +240,6 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     rows = rows.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return ws.finish(
         rows.select(
-            F.col("id").alias(id_col), F.col("poor").alias("p_poor"), F.col("toxic").alias("p_toxic"), "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= KEEP_FROM).alias("kept")
+            F.col("id").alias(id_col), F.col("poor").alias("p_poor"), F.col("toxic").alias("p_toxic"), "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= KEEP_FROM).alias("kept"), *[F.col(c).alias(name) for c, name in own.items()]
         )
     )
