@@ -380,6 +380,21 @@ def test_license_rules():
     assert licenses.scan_text(None)[3] == licenses.scan_text("")[3] == licenses.scan_text("plain")[3] == "none"
 
 
+def test_license_statements_end_at_lines_and_have_subjects():
+    first = lambda text: licenses.scan_text(text)[::3]
+    assert first("# SPDX-License-Identifier: MIT\nimport os") == ("MIT", "rule")
+    assert licenses.scan_text("// SPDX-License-Identifier: Apache-2.0\n// Copyright 2020 X")[:2] == ("Apache-2.0", "spdx copyright")
+    assert first("Copyright 2020 X\nReleased under the MIT License\nSee the file") == ("MIT", "rule")
+    assert first("FooLib is released under the MIT License.") == ("MIT", "rule")
+    assert first("/* SPDX-License-Identifier: MIT */\nint x;") == first("<!-- SPDX-License-Identifier: MIT -->\n<p>") == ("MIT", "rule")
+    assert first("SPDX-License-Identifier: MIT\nFooLib is licensed under the GNU General Public License, version 3\nwords") == ("MIT;GPL-3.0-only", "rule")
+    assert first("words\n" + MIT.split("\n\n")[1].rstrip(".") + "\nwords")[1] == "partial"
+    for text in ("FooLib is not released under the MIT License.", "Nothing is released under the MIT License.", "If FooLib is released under the MIT License."):
+        assert first(text) == ("", "unknown")
+    many = "odd license line\n" * 3000
+    assert first(many + "Released under the MIT License\n" + many) == ("MIT", "rule")
+
+
 def test_license_scan_against_plain_search(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     named = {

@@ -1,8 +1,8 @@
 """Licence scan by sentence rules.
 
 A text is cut into sentences.  A sentence, normalised, that equals or fits a known
-licence sentence gets its identifier; so does the part of a sentence that begins at
-a line's start, since headings and lists often lack a full stop.  Identifier
+licence sentence gets its identifier; so does each run of whole lines in a sentence,
+since headings, comments and lists often lack a full stop.  Identifier
 sequences are then matched, left to right and longest rule first, against rules that
 list identifiers in order.  Sentences without a rule are reported as such.
 
@@ -19,18 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import Workspace, clean, rows_of, to_batch
 
+# What may precede "licensed under": a subject, unless it denies or conditions.
+_SUBJECT = r"(?:(?!(?:if|unless|until|when|whether|no|none|not|nothing|neither|never|nor)\b)(?:(?!\b(?:not|no|if|unless)\b)[^.!?;:]){1,80}? (?:is|are) (?:also )?)?"
 # Wording of public licences, normalised; patterns of statements that name one.
 SENTENCES: list[tuple[str, str]] = [
     ("spdx", r"spdx-license-identifier: ?(?P<name>[\w.+-]+)"),
-    ("named-mit", r"(?:this (?:work|software|program|project) is )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?:mit|expat)(?: license)?"),
-    ("named-apache", r"(?:this (?:work|software|program|project) is )?(?:licensed|released|distributed|available) under the (?:terms of the )?apache(?: software)? license,? (?:version |v)?(?P<name>\d(?:\.\d)?)(?: \(the \"license\"\))?"),
-    ("named-gpl", r"(?:this (?:work|software|program|project) is )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?:gnu )?(?P<kind>lesser |affero )?(?:general public license|gpl),? (?:version |v)?(?P<name>\d(?:\.\d)?)(?P<later>,? or \(?at your option\)? any later version| or later)?"),
-    ("named-cc", r"(?:this (?:work|text) is )?(?:licensed|released|distributed|available) under (?:a |the )?(?:cc|creative commons)[ -](?P<name>(?:by|zero|0)(?:-(?:nc|sa|nd))*)[ -](?P<version>\d\.\d)(?: international)?(?: license)?"),
-    ("named-cc0", r"(?:this work is )?(?:licensed|released|dedicated|available) (?:under|to the public domain under) cc0(?:[ -]1\.0)?"),
-    ("named-bsd", r"(?:this (?:work|software|program|project) is )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?P<name>[23])-clause bsd license"),
-    ("named-mpl", r"(?:this source code form is subject to|(?:licensed|released|distributed|available) under) the (?:terms of the )?mozilla public license,? (?:version |v\. ?|v)?(?P<name>\d\.\d)"),
-    ("named-isc", r"(?:licensed|released|distributed|available) under the isc license"),
-    ("named-unlicense", r"(?:this is free and unencumbered software released into the public domain|released under the unlicense)"),
+    ("named-mit", _SUBJECT + r"(?:licensed|released|distributed|available) under the (?:terms of the )?(?:mit|expat)(?: license)?"),
+    ("named-apache", _SUBJECT + r"(?:licensed|released|distributed|available) under the (?:terms of the )?apache(?: software)? license,? (?:version |v)?(?P<name>\d(?:\.\d)?)(?: \(the \"license\"\))?"),
+    ("named-gpl", _SUBJECT + r"(?:licensed|released|distributed|available) under the (?:terms of the )?(?:gnu )?(?P<kind>lesser |affero )?(?:general public license|gpl),? (?:version |v)?(?P<name>\d(?:\.\d)?)(?P<later>,? or \(?at your option\)? any later version| or later)?"),
+    ("named-cc", _SUBJECT + r"(?:licensed|released|distributed|available) under (?:a |the )?(?:cc|creative commons)[ -](?P<name>(?:by|zero|0)(?:-(?:nc|sa|nd))*)[ -](?P<version>\d\.\d)(?: international)?(?: license)?"),
+    ("named-cc0", _SUBJECT + r"(?:licensed|released|dedicated|available) (?:under|to the public domain under) cc0(?:[ -]1\.0)?"),
+    ("named-bsd", _SUBJECT + r"(?:licensed|released|distributed|available) under the (?:terms of the )?(?P<name>[23])-clause bsd license"),
+    ("named-mpl", r"(?:this source code form is subject to|" + _SUBJECT + r"(?:licensed|released|distributed|available) under) the (?:terms of the )?mozilla public license,? (?:version |v\. ?|v)?(?P<name>\d\.\d)"),
+    ("named-isc", _SUBJECT + r"(?:licensed|released|distributed|available) under the isc license"),
+    ("named-unlicense", r"(?:this is free and unencumbered software released into the public domain|" + _SUBJECT + r"released under the unlicense)"),
     ("mit-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files \(the \"software\"\), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-warranty", r"the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
@@ -79,15 +81,23 @@ RULES: list[tuple[tuple[str, ...], str]] = [
 _KNOWN = [(key, re.compile(pattern)) for key, pattern in SENTENCES]
 _BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0]))
 _TRIGGER = re.compile(r"licen[sc]e|copyright|©|spdx|redistribut|permission|public domain|warrant|unencumbered", re.I)
+#: No known sentence is longer when normalised.
+LONGEST = 600
 _END = re.compile(r"(?:[.!?;]|(?<!dentifier):)(?=[\s\"')]|$)|\n[\s#*/;%|]*\n")
-_LEAD = re.compile(r"^[\s#*/;%>|+-]*(?:\(?(?:\d{1,2}|[a-z])[.)]\s+)?[\s*-]*")
+_LEAD = re.compile(r"^(?:\s*<!--)?[\s#*/;%>|+-]*(?:\(?(?:\d{1,2}|[a-z])[.)]\s+)?[\s*-]*")
+# How known sentences begin.
+_OPENING = re.compile(
+    r"spdx-|permission |the (?:above|software) |in no event|redistribution|neither the|this (?:software|program|source|is free)|you may|https?:|unless required|see the|copyright|©"
+    r"|.{0,100}?(?:licensed|released|distributed|available|dedicated) (?:under|to) "
+)
+_TAIL = re.compile(r"\s*(?:\*+/|-->)\s*$")
 _SPACE = re.compile(r"\s+(?:[#*/;%>|]+\s+)?")
 
 
 def normalise_sentence(sentence: str) -> str:
     """Lower case, one space between words, straight quotes, no comment signs or final marks."""
     s = sentence.lower().replace("“", '"').replace("”", '"').replace("licence", "license").replace("``", '"').replace("''", '"')
-    return _SPACE.sub(" ", _LEAD.sub("", s)).strip(" .!?:;")
+    return _SPACE.sub(" ", _LEAD.sub("", _TAIL.sub("", s))).strip(" .!?:;")
 
 
 def recognise(sentence: str) -> tuple[str, dict[str, str]] | None:
@@ -111,18 +121,39 @@ def sentences(text: str) -> Iterator[tuple[int, str]]:
         yield start, text[start:]
 
 
+def _statements(sentence: str) -> Iterator[tuple[int, tuple[str, dict[str, str]]]]:
+    """Known statements in runs of a sentence's lines, left to right and longest first."""
+    edges = [0, *(m.end() for m in re.finditer(r"\n", sentence)), len(sentence)]
+    # what a line adds to a run's length at least
+    size = [len(normalise_sentence(sentence[a:b])) for a, b in zip(edges, edges[1:])]
+    i = 0
+    while i < len(size):
+        j, held = i + 1, size[i]
+        while j < len(size) and held + size[j] <= LONGEST:
+            held += size[j]
+            j += 1
+        if not _OPENING.match(normalise_sentence(sentence[edges[i] : edges[j]])):
+            i += 1
+            continue
+        for j in range(j, i, -1):
+            found = recognise(sentence[edges[i] : edges[j]])
+            # a copyright line takes any wording, so it ends with its line
+            if found and (found[0] != "copyright" or j == i + 1):
+                yield edges[i], found
+                i = j
+                break
+        else:
+            i += 1
+
+
 def identify(text: str) -> list[tuple[int, str, dict[str, str]]]:
     """Known sentences in order; others near licence words as ``unknown``."""
     out: list[tuple[int, str, dict[str, str]]] = []
     for at, sentence in sentences(text):
         if not _TRIGGER.search(sentence) and not re.search(r"(?i)compliance|hope that|liable", sentence):
             continue
-        # the whole sentence, or what follows one of its line breaks
-        starts = [0, *(m.end() for m in re.finditer(r"\n", sentence))]
-        hits = [(i, found) for i in starts if (found := recognise(sentence[i:]))]
-        # a copyright line takes any wording, so whatever else fits goes first
-        hits.sort(key=lambda h: (h[1][0] == "copyright", h[0]))
-        out.append((at + hits[0][0], *hits[0][1]) if hits else (at, "unknown", {}))
+        hits = list(_statements(sentence))
+        out += [(at + i, *found) for i, found in hits] or [(at, "unknown", {})]
     return out
 
 
