@@ -316,6 +316,14 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_warc_round_trip_fails_when_records_are_missing(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string")
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **k: read(*a, **k).where("payload_digest <> '" + warc.payload_digest(b"a") + "'"))
+    with pytest.raises(ValueError, match="1 of 2 records"):
+        warc.round_trip(spark, df)
+
+
 @pytest.mark.parametrize("plain", [True, False])
 @pytest.mark.parametrize("step", [97, 1 << 20])
 def test_salvage(plain, step):

@@ -304,10 +304,17 @@ def read_archives(spark: SparkSession, files: DataFrame, with_payload: bool = Tr
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Write the pages, read the archives back, and give one row per record: id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the pages, read the archives back, and give one row per record: id, payload_bytes, payload_digest, record_type, refers_to.
+
+    ValueError if not all records written are read back.
+    """
     ws = Workspace(spark, "warc")
     manifest = write_archives(spark, pages, ws, id_col, url_col, html_col, least_bytes)
+    wanted = manifest.agg(F.sum("records").alias("n")).first().n or 0
     rows = read_archives(spark, manifest, with_payload=False).where("gap IS NULL")
     key = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     number = lambda c: F.when(key(c) != "", key(c)).cast("long")
-    return ws.finish(rows.select(number("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")))
+    out = ws.finish(rows.select(number("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")))
+    if (found := out.count()) != wanted:
+        raise ValueError(f"{found} of {wanted} records read back; a record over {RECORD_BYTES} bytes can't be read")
+    return out
