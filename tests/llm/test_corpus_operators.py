@@ -346,6 +346,19 @@ def test_salvage(plain, step):
     assert cut[0][0] == cut[-1][0] == "gap" and sum(x[0] == "record" for x in cut) == 29
 
 
+def test_salvage_inside_members():
+    bodies = [bytes([65 + i]) * 3000 for i in range(5)]
+    records = [warc.record("response", str(i), "http://x", warc.payload_digest(b), len(b), b, None) for i, b in enumerate(bodies)]
+    bad = records[0].replace(b"A" * 3000, b"A" * 2999 + b"x")
+    member = warc.gzip_member(bad + b"".join(records[1:4]))
+    whole = member + warc.gzip_member(records[4])
+    found = list(warc.salvage(io.BytesIO(whole), 97))
+    assert [x[:3] for x in found] == [("gap", 0, len(member)), *[("record", 0, len(member))] * 3, ("record", len(member), len(whole))]
+    assert [x[3][0]["warc-record-id"] for x in found[1:]] == [f"<urn:page:{i}>" for i in range(1, 5)]
+    assert [x[0] for x in warc.salvage(io.BytesIO(warc.gzip_member(b"".join(records))))] == ["record"] * 5
+    assert [x[0] for x in warc.salvage(io.BytesIO(warc.gzip_member(b"no record")))] == ["gap"]
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -148,14 +150,26 @@ def _member(source: _Source) -> tuple[bytes, int]:
             raise ValueError("gzip: member too large")
 
 
-def _record(source: _Source) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length in the file of the sound record that begins here; ValueError if there is none."""
-    if source.buffer.startswith(_MAGIC, source.pos):
-        data, length = _member(source)
+def _unpacked(data: bytes, step: int) -> Iterator[tuple[str, object]]:
+    """What salvage finds in a sound member's content; ValueError if there is no record."""
+    why = "more than one record in a member"
+    try:
         head, block, used = parse(data)
-        if used != len(data):
-            raise ValueError("more than one record in a member")
-        return head, block, length
+        if used == len(data):
+            return iter([("record", (head, block))])
+    except ValueError as e:
+        why = str(e)
+    inner = ((what, found) for what, _, _, found in salvage(io.BytesIO(data), step, False))
+    lead = []
+    for x in inner:
+        lead.append(x)
+        if x[0] == "record":
+            return chain(lead, inner)
+    raise ValueError(why)
+
+
+def _record(source: _Source) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and length in the file of the sound plain record that begins here; ValueError if there is none."""
     while True:
         try:
             head, block, end = parse(source.buffer, source.pos)
@@ -185,10 +199,11 @@ def _seek(source: _Source) -> None:
         start = source.pos
 
 
-def salvage(stream, step: int = READ_BYTES) -> Iterator[tuple[str, int, int, object]]:
+def salvage(stream, step: int = READ_BYTES, members: bool = True) -> Iterator[tuple[str, int, int, object]]:
     """("record", start, end, (headers, block)) and ("gap", start, end, reason) for a stream, in order.
 
     Gzip members and plain records are told apart at each place, so damage to one kind doesn't hide the other.
+    A sound member that isn't one sound record is salvaged inside; what is found there has the member's start and end.
     """
     source = _Source(stream, step)
     bad_from, why = None, ""
@@ -198,7 +213,12 @@ def salvage(stream, step: int = READ_BYTES) -> Iterator[tuple[str, int, int, obj
         if not source.left():
             break
         try:
-            head, block, length = _record(source)
+            if members and source.buffer.startswith(_MAGIC, source.pos):
+                data, length = _member(source)
+                found = _unpacked(data, step)
+            else:
+                head, block, length = _record(source)
+                found = [("record", (head, block))]
         except ValueError as e:
             if bad_from is None:
                 bad_from, why = source.at, str(e)
@@ -207,7 +227,8 @@ def salvage(stream, step: int = READ_BYTES) -> Iterator[tuple[str, int, int, obj
         if bad_from is not None:
             yield "gap", bad_from, source.at, why
             bad_from = None
-        yield "record", source.at, source.at + length, (head, block)
+        for what, x in found:
+            yield what, source.at, source.at + length, x
         source.pos += length
     if bad_from is not None:
         yield "gap", bad_from, source.at, why
