@@ -12,6 +12,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,31 @@ ARROW_ROWS = 2000
 ARROW_BYTES = "16m"
 
 
+#: Of a table's keys, fewer than this many hold more than one part in so many of its rows.
+HOT_KEYS = 1000
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where unset, a local one (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, else the context's checkpoint folder; only a local session gets one of its own."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> dict[str, str | None]:
+    """Limit Arrow batches by rows and bytes; returns the settings as they were."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    return before
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -41,13 +58,13 @@ class Workspace:
     """A folder of one operator run in the shared root.
 
     ``save`` writes a table and reads it back, which cuts the lineage there;
-    ``finish`` writes the result, deletes the rest and returns the result.
+    ``finish`` writes the result, deletes the rest, gives the session its Arrow
+    settings back and returns the result.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        self.before = bounded_batches(spark)
         self.path = f"{shared_root(spark)}/textloom-{name}-{uuid.uuid4().hex[:12]}"
         p, fs = _hadoop_path(spark, self.path)
         fs.mkdirs(p)
@@ -56,12 +73,13 @@ class Workspace:
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None, release: bool = True) -> DataFrame:
         out, schema = self.folder(name), df.schema
         w = df.write.mode("overwrite").option("compression", "zstd")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(out)
         del df
-        self.release()
+        if release:
+            self.release()
         # an empty table leaves no file to read the schema from
         return self.spark.read.schema(schema).parquet(out)
 
@@ -71,6 +89,7 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
+        """Delete tables, or parts of them (``table/column=value``)."""
         for name in names:
             p, fs = _hadoop_path(self.spark, self.folder(name))
             fs.delete(p, True)
@@ -82,6 +101,11 @@ class Workspace:
         for status in fs.listStatus(p):
             if status.getPath().getName() not in {"result", *keep}:
                 fs.delete(status.getPath(), True)
+        for k, v in self.before.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
         return out
 
 
@@ -89,6 +113,20 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: Sequence[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``table``, which has one row for each key and, as ``n``, how many rows have it.
+
+    Keys that hold more than ``total / HOT_KEYS`` of the ``total`` rows are fewer than
+    ``HOT_KEYS``, so they are broadcast, and no task gathers such a key's rows.
+    """
+    on = list(on)
+    least = total // HOT_KEYS
+    hot = table.where(F.col("n") > least)
+    near = rows.join(F.broadcast(hot), on)  # under HOT_KEYS rows
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return near.unionByName(rest.join(table.where(F.col("n") <= least), on, how)).drop("n")
+
+
 def clean(df: DataFrame, **columns: str) -> DataFrame:
     """Only the wanted columns under fixed names, so that other columns can't clash."""
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
