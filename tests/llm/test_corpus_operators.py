@@ -66,7 +66,9 @@ def test_exact(spark, docs, rows, empty):
     assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
     assert exact_dedup.exact_dedup(spark, empty).count() == 0
     small = exact_dedup.exact_dedup(spark, docs, capacity=2)
-    assert sorted(map(repr, small.collect())) == sorted(map(repr, got)) or sum(r.kept for r in small.collect()) == len(groups)
+    # which of two rows with one id and text stays is open, all else is the same
+    assert sorted(repr(r[:3] + r[4:]) for r in small.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == sorted(repr(r[:3] + r[4:]) for r in exact_dedup.exact_dedup(spark, docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
+    assert sum(r.kept for r in small.collect()) == len(groups)
 
 
 def test_directory_doubles_until_buckets_fit():
@@ -129,13 +131,22 @@ def test_bpe_offsets_and_split_characters(spark):
     assert {r.doc_id: bytes(r.decoded).decode() for r in back} == {1: text, 2: ""}
 
 
-def test_packing(spark, docs, rows, empty, encoder):
+def test_packing(spark, docs, rows, empty):
+    """Ids are the tokenizers library's own by default, special tokens in texts included."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path("byte_bpe_50k.json"))
+
+    def encode(text):
+        return library.encode(text or "", add_special_tokens=False).ids
+
+    assert any(len(encode(t)) != len(bpe.ByteBPE.get(bpe.default_path("byte_bpe_50k.json")).encode_batch([t])[0]) for _, t, *_ in rows)
     got = packing.pack(spark, docs).collect()
     want = Counter()
     for i, t, *_ in rows:
-        want[i, len(encoder.encode_ordinary(t or "")) + 1] += 1
+        want[i, len(encode(t)) + 1] += 1
     assert Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == want
-    once = {i: encoder.encode_ordinary(t or "") + [0] for i, t, *_ in rows if sum(1 for x in rows if x[0] == i) == 1}
+    once = {i: encode(t) + [0] for i, t, *_ in rows if sum(1 for x in rows if x[0] == i) == 1}
     for i, ids in once.items():
         at = 0
         for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start):

@@ -12,7 +12,9 @@ pre-token).  Texts with other white space, or with runs of it, are handed to the
 library whole.
 
 Null texts count as empty and give no ids.  Lone surrogates can't occur in
-Arrow strings.  Very long texts are encoded whole.
+Arrow strings.  Very long texts are encoded whole.  Each row is encoded by itself, so
+repeated rows and ids each get a row, and an empty table gives none.  Of the input's
+columns only id and text are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Workspace, clean, rows_of, to_batch
+from .common import bounded_batches, clean, rows_of, to_batch
 
 #: Chunks whose ids a worker remembers.
 CACHE = 400_000
@@ -56,20 +58,22 @@ def byte_characters() -> list[str]:
 class ByteBPE:
     """Encoder and decoder of a byte-level vocabulary file in the tokenizers library's format."""
 
-    _open: dict[str, ByteBPE] = {}
+    _open: dict[tuple[str, bool], ByteBPE] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
+        """``special``: the vocabulary's special tokens are found in texts, as the library does by default."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = not special
         self.characters = byte_characters()
         back = {c: b for b, c in enumerate(self.characters)}
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self.wide = np.uint16 if size <= 1 << 16 else np.uint32
         self.code = "H" if size <= 1 << 16 else "I"
         added = {i: t.content for i, t in self.lib.get_added_tokens_decoder().items()}
+        self.special = [c for c in added.values() if c] if special else []
         self.bytes_of = [
             added[i].encode() if i in added else bytes(back[c] for c in self.lib.id_to_token(i) or "") for i in range(size)
         ]
@@ -80,11 +84,11 @@ class ByteBPE:
         self.newline = self._merge("\n")
 
     @classmethod
-    def get(cls, path: str) -> ByteBPE:
-        """One encoder for each worker process and file."""
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def get(cls, path: str, special: bool = False) -> ByteBPE:
+        """One encoder for each worker process, file and use of special tokens."""
+        if (path, special) not in cls._open:
+            cls._open[path, special] = cls(path, special)
+        return cls._open[path, special]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,8 +133,8 @@ class ByteBPE:
         for text in texts:
             text = text or ""
             chunks = text.replace("\n", " \n").split(" ")
-            if "\0" in text or "" in chunks or "\n" in chunks or len(text.split()) != len(chunks):
-                cut.append(None)  # white space other than single spaces and newlines between words
+            if "\0" in text or "" in chunks or "\n" in chunks or len(text.split()) != len(chunks) or any(s in text for s in self.special):
+                cut.append(None)  # white space other than single spaces and newlines between words, or special tokens
                 whole.append(text)
             else:
                 chunks[0] = "\0" + chunks[0]
@@ -188,7 +192,7 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
             chars = [character_offsets(t or "", o) for t, o in zip(texts, offsets)]
             yield to_batch(_TOKENS, [keys, [i.astype(np.int32) for i in ids], offsets, chars])
 
-    Workspace(spark, "bpe")
+    bounded_batches(spark)
     return clean(docs, id=id_col, text=text_col).mapInArrow(run, "id long, ids array<int>, byte_starts array<int>, char_starts array<int>").withColumnRenamed("id", id_col)
 
 
@@ -227,5 +231,5 @@ def digest(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
                 b.append(sha(bpe.decode(plain)).hexdigest())
             yield to_batch(_DIGEST, [keys, n, a, b])
 
-    Workspace(spark, "bpe")
+    bounded_batches(spark)
     return clean(docs, id=id_col, text=text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

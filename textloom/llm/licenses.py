@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Workspace, clean, rows_of, to_batch
+from .common import bounded_batches, clean, rows_of, to_batch
 
 # What may precede "licensed under": a subject, unless it denies or conditions.
 _SUBJECT = r"(?:(?!(?:if|unless|until|when|whether|no|none|not|nothing|neither|never|nor)\b)(?:(?!\b(?:not|no|if|unless)\b)[^.!?;:]){1,80}? (?:is|are) (?:also )?)?"
@@ -211,5 +211,5 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
             ids, texts = rows_of(batch, "id", "text")
             yield to_batch(_ROW, [ids, *zip(*map(scan_text, texts))] if ids else [[]] * len(_ROW))
 
-    Workspace(spark, "licenses")
+    bounded_batches(spark)
     return clean(docs, id=id_col, text=text_col).mapInArrow(run, "id long, licenses string, identifiers string, n_sentences long, status string").withColumnRenamed("id", id_col)

@@ -16,8 +16,11 @@ rows, and documents find their places in it by their rank among remainders of
 their length.  Ranks come from counts for each map task, so a length that a third
 of all documents share is never gathered in one task.
 
-Null texts count as empty: they hold the closing id only.  Null or repeated ids
-of documents are kept as they are.  An empty table gives no pieces.
+Ids are those of the tokenizers library by default: the vocabulary's special tokens
+are found in texts, and none is added.  Null texts count as empty: they hold the
+closing id only.  Null or repeated ids of documents are kept as they are.  Very long
+texts become many full windows.  An empty table gives no pieces.  Of the input's
+columns only id and text are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -174,7 +177,7 @@ def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     ws = Workspace(spark, "pack")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE.get(path)
+        bpe = ByteBPE.get(path, special=True)
         chunk, row, full = TaskContext.get().partitionId(), 0, 0
         ranks: dict[int, int] = defaultdict(int)
         for batch in batches:
@@ -241,7 +244,7 @@ def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     pieces = ws.save(placed.mapInArrow(place, _PIECE_DDL), "pieces")
 
     cut_schema = pa.schema([*_PIECE])
-    wide = "<u4" if ByteBPE.get(path).wide is np.uint32 else "<u2"
+    wide = "<u4" if ByteBPE.get(path, special=True).wide is np.uint32 else "<u2"
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in _PIECE]
