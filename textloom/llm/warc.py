@@ -13,6 +13,8 @@ logs the bytes between as a quarantined gap with the reason.
 
 Null payloads are empty.  Rows with a null id come after all others.  Of several
 rows with the least id of a payload, all are responses.  Empty tables make no files.
+Very long payloads are held whole, one at a time.  Of the input's columns only id,
+address and payload are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -31,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, clean, parallelism, rows_of, to_batch
+from .common import Workspace, clean, parallelism, rows_of, spread_join, to_batch
 from .windows import utf8
 
 #: A file is closed after so many bytes, and read in blocks of this size.
 FILE_BYTES = 256 << 20
 READ_BYTES = 4 << 20
-#: A single member may not unpack to more.
-RECORD_BYTES = 1 << 30
+#: A single member may not unpack to more; no value that Spark holds is longer than 2^31 bytes.
+RECORD_BYTES = (1 << 31) + (1 << 20)
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _DATE = "2020-01-01T00:00:00Z"
@@ -240,8 +242,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, ws: Workspace, id_col:
     text = F.coalesce("html", F.lit(""))
     rows = rows.withColumn("sha", F.unhex(F.sha1(text.cast("binary")))).withColumn("size", F.octet_length(text))
     # only digests that occur twice travel back; rows without an id come after all others
-    first = rows.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    roles = rows.join(first, "sha", "left")
+    first = rows.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = ws.save(first, "digests")
+    roles = spread_join(rows, first, ["sha"], pages.count(), "left")
     revisit = F.col("first").isNotNull() & ((F.col("id") > F.col("first")) | F.col("id").isNull())
     roles = roles.select("id", "url", F.when(~revisit, F.col("html")).alias("html"), "sha", "size", F.when(revisit, F.col("first")).alias("refers_to"))
     folder = ws.folder("archives")
