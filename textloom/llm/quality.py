@@ -13,8 +13,11 @@ estimated from the spread between groups (method of moments), so sparse sites st
 near the prior.  A document is left out of its own site's posterior.  Its final log
 odds are the classifier's plus the path posterior's distance from the global prior.
 
-Null texts are empty; null hosts or paths form a site of their own.  Rows without an
-id are scored too.  A head without both classes in the sample predicts the share it
+Null texts are empty; null hosts or paths form a site of their own, other than the
+empty name's.  Rows without an id are scored too, and rows repeating an id each by
+itself.  Very long texts are read whole.  Only the named columns are read, so others
+can't clash.  Training takes one row of each labelled id: of texts repeating an id, the
+one of least hash.  A head without both classes in the sample predicts the share it
 saw.  Without usable labels, or with an empty table, everything is kept.  Of several
 labels for an id, the least quality and greatest toxicity count.
 """
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, clean, rows_of, to_batch
+from .common import Workspace, clean, rows_of, spread_join, to_batch
 
 TRAIN_ROWS = 20_000
 #: Words and beginnings in the lexicon, and documents that must have one.
@@ -146,7 +149,8 @@ def fit(spark: SparkSession, ws: Workspace, docs: DataFrame, labels: DataFrame)
     known = labels.where("id IS NOT NULL").groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = known.where("quality IS NOT NULL AND toxic IS NOT NULL")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
-    rows = docs.join(F.broadcast(sample), "id")  # at most TRAIN_ROWS rows
+    rows = docs.join(F.broadcast(sample), "id")  # at most TRAIN_ROWS ids
+    rows = rows.groupBy("id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = ws.save(rows.withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int")), "train")
     seen = pa.schema([("token", pa.string()), *[(f"{c}{h}", pa.int64()) for h in (0, 1) for c in ("n", "poor", "toxic")]])
 
@@ -201,6 +205,8 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     ws = Workspace(spark, "quality")
     own = {"row": row_col} if row_col else {}
     docs = clean(docs, id=id_col, text=text_col, host=host_col, path=path_col, **own)
+    # a null name is another than the empty one
+    docs = docs.withColumns({c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("host", "path")})
     labels = labels.select(F.col(id_col).alias("id"), "quality", "toxic")
     lexicon, poor, toxic = fit(spark, ws, docs.select("id", "text"), labels)
     schema = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("poor", pa.float64()), ("toxic", pa.float64()), ("good", pa.float64()), *[(c, pa.int64()) for c in own]])
@@ -211,7 +217,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
             x = np.array([lexicon.features(t or "") for t in texts], float).reshape(len(texts), -1)
             if len(x):
                 a, b = poor.predict(x), toxic.predict(x)
-                yield to_batch(schema, [ids, [h or "" for h in hosts], [p or "" for p in paths], a, b, np.clip((1 - a) * (1 - b), 1e-6, 1 - 1e-6), *rows_of(batch, *own)])
+                yield to_batch(schema, [ids, hosts, paths, a, b, np.clip((1 - a) * (1 - b), 1e-6, 1 - 1e-6), *rows_of(batch, *own)])
 
     scored = ws.save(docs.mapInArrow(score, "id long, host string, path string, poor double, toxic double, good double" + ", row long" * len(own)), "scored")
     paths = ws.save(scored.groupBy("host", "path").agg(F.count("*").alias("pn"), F.sum("good").alias("ps")), "paths")
@@ -231,7 +237,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     host_strength = strength(hosts, "hn", "hs", F.lit(m))
     both = ws.save(paths.join(hosts, "host"), "sites")
     path_strength = strength(both, "pn", "ps", F.col("hs") / F.col("hn"))
-    rows = scored.join(both, ["host", "path"])
+    rows = spread_join(scored, both.withColumn("n", F.col("pn")), ["host", "path"], total.n or 0)
     host = (F.col("hs") - F.col("good") + host_strength * m) / (F.col("hn") - 1 + host_strength)
     path = (F.col("ps") - F.col("good") + path_strength * F.col("host_posterior")) / (F.col("pn") - 1 + path_strength)
     logit = lambda c: F.log(c / (1 - c))
