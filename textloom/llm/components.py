@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Each round writes its links to the shared folder.  A vertex's neighbours are only
-ever compared with their least one, so a vertex with many links needs no task
-that holds them all: the least neighbour is a partial aggregate.
+ever compared with their least one, which is a partial aggregate.  It comes back to
+them by ``spread_join``, so a vertex with many links needs no task that holds them all.
 """
 
 from __future__ import annotations
@@ -10,38 +10,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, spread_join
 
 
-def _hook(links: DataFrame, both_ways: bool) -> DataFrame:
+def _hook(links: DataFrame, both_ways: bool, total: int) -> DataFrame:
     """Tie each vertex's larger (or, not both ways, smaller) neighbours and itself to its least neighbour."""
     if both_ways:
         # large star: neighbours larger than the vertex are tied to its least neighbour
         near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        return spread_join(near.where("b > a"), least, ["a"], 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     # small star: a > b; the vertex and its smaller neighbours are tied to the least of them
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    tied = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    tied = spread_join(links, least, ["a"], total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.unionByName(least.select("a", F.col("m").alias("b")))
 
 
 def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
     """(v, c) for each vertex of the links (a, b): c is the least vertex of its component."""
     links = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = ws.save(links, f"{name}-links0")
-    seen, k = None, 0
+    links = ws.save(links, f"{name}-links0", release=False)
+    total, seen, k = links.count(), None, 0
     while True:
         k += 1
-        large = _hook(links, True)
-        small = _hook(large.where("a > b").distinct(), False).where("a > b").distinct()
-        ws_links = ws.save(small, f"{name}-links{k}")
-        ws.drop(f"{name}-links{k - 1}")
-        links = ws_links
+        # either star has no more links than its rows: those of one vertex are distinct
+        large = ws.save(_hook(links, True, total).where("a > b").distinct(), f"{name}-large{k}", release=False)
+        total = large.count()
+        small = _hook(large, False, total).where("a > b").distinct()
+        links = ws.save(small, f"{name}-links{k}", release=False)
+        ws.drop(f"{name}-links{k - 1}", f"{name}-large{k}")
         # both stars keep the components; nothing changes any more when the links are stars
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        total = now[0]
         if now == seen:
             break
         seen = now
     roots = links.select(F.col("b").alias("v"), F.col("b").alias("c")).distinct()
-    return ws.save(links.select(F.col("a").alias("v"), F.col("b").alias("c")).unionByName(roots), f"{name}-components")
+    out = ws.save(links.select(F.col("a").alias("v"), F.col("b").alias("c")).unionByName(roots), f"{name}-components")
+    ws.drop(f"{name}-links{k}")
+    return out

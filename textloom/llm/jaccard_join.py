@@ -27,8 +27,11 @@ documents, and each block reports a signature once, so a list that a third of al
 rows are in doesn't meet in one task before it has shrunk.
 
 A document's set: distinct k-word shingles of its text, A-Z lower-cased; with fewer
-words, all words as one; without words or text it is empty and linked with
-nothing.  Shingles are compared by 64-bit hashes.
+words, all words as one; without words or text (null, empty) it is empty and linked
+with nothing.  Shingles are compared by 64-bit hashes, sets are told apart by 128 bits.
+Very long texts are taken whole: their sets fall into bands of their own.  Rows repeating
+an id or a text each get a row.  An empty table gives no rows.  Of the input's columns only
+id and text are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import Workspace, clean, parallelism, rows_of, to_batch
+from .common import Workspace, clean, parallelism, rows_of, spread_join, to_batch
 from .components import components
 from .exact_dedup import normalise
 from .substring_dedup import corpus_bytes
@@ -60,6 +63,8 @@ PER_BUCKET = 1_000_000
 ROUNDS = 2
 #: At most so many rounds of closest sets, looking into so many of a set's lists.
 CLOSEST_ROUNDS, HOMES = 6, 4
+#: Sets whose 128-bit keys differ though their first halves are equal; more would be no chance.
+CLASHES = 10_000
 #: Bits of a set's parity bitmap.
 PARITY = 1024
 #: Segments per unit of the bound; the spare ones leave a choice.
@@ -185,13 +190,15 @@ def shingle_sets(texts: list[bytes], hasher: WordHasher, k: int = SHINGLE) -> li
     return out
 
 
-def set_key(elements: np.ndarray, seed: int) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(elements.tobytes(), seed=seed)
+def set_key(elements: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(elements.tobytes())
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
 _FIRST = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), *sketch.CELLS])
 _FIRST_DDL = "kind int, id long, n long, k1 long, k2 long, " + sketch.CELLS_DDL
+
+
 def parity(elements: np.ndarray) -> np.ndarray:
     """One bit per hash bucket: whether an odd number of elements falls into it."""
     n = np.bincount((mix(elements + _U(0x2545F491)) >> _U(40)).astype(np.int64) % PARITY, minlength=PARITY)
@@ -250,28 +257,31 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     tasks = parallelism(spark)
     buckets = max(tasks, int(items / PER_BUCKET) + 1)
 
-    for seed in range(8):
-        first = ws.save(docs.mapInArrow(_first_pass(shingle, bits, seed), _FIRST_DDL), f"first{seed}", ["kind"])
-        members = first.where(f"kind = {_SET}").select("id", "n", "k1", "k2")
-        # two different sets with one 64-bit key: begin again with another seed
-        if not members.groupBy("k1").agg(F.min("k2").alias("x"), F.max("k2").alias("y")).where("x != y").limit(1).count():
-            break
+    first = ws.save(docs.mapInArrow(_first_pass(shingle, bits), _FIRST_DDL), "first", ["kind"])
+    members = first.where(f"kind = {_SET}").select("id", "n", "k1", "k2")
+    alias = _aliases(members)
     table = sketch.merge(spark, first.where(f"kind = {_LIST}").select("chunk", "once", "more"), bits)
+    ws.release()
+    ws.drop(f"first/kind={_LIST}")
 
-    second = ws.save(docs.mapInArrow(_second_pass(shingle, table, bits, seed, num, den, buckets, None), _ROW_DDL), "second", ["kind"])
+    second = ws.save(docs.mapInArrow(_second_pass(shingle, table, bits, alias, num, den, buckets, None), _ROW_DDL), "second", ["kind"])
     hard = second.where(f"kind = {_HARD}").select("s", "n").distinct()
     wanted = sorted((r.s, r.n) for r in hard.collect())  # (band, segment) pairs: as many as the sizes of sets allow, whatever the number of sets
+    base = "second"
     if wanted:
-        ws.drop("second")
-        second = ws.save(docs.mapInArrow(_second_pass(shingle, table, bits, seed, num, den, buckets, wanted), _ROW_DDL), "second-all", ["kind"])
+        ws.drop(base)
+        base = "second-all"
+        second = ws.save(docs.mapInArrow(_second_pass(shingle, table, bits, alias, num, den, buckets, wanted), _ROW_DDL), base, ["kind"])
+    table.unpersist()
 
     # a set that several blocks hold is written by each; one copy does
     sets = second.where(f"kind = {_SET}").groupBy("s").agg(F.first("payload").alias("payload"), F.first("n").alias("n"))
-    sets = ws.save(sets, "sets")
+    sets = ws.save(sets, "sets0")
+    ws.drop(f"{base}/kind={_SET}")
     lists = second.where(f"kind = {_LIST}").select("src", "payload")
     has = second.where(f"kind = {_HAS}").select("src", "s", "n", "payload")
     sums = second.where(f"kind = {_SUM}").select("bucket", "payload")
-    labels = None
+    labels, rounds = None, []
 
     def settle(turn: int) -> DataFrame:
         return ws.save(sums.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle, "src long, payload binary"), f"answers{turn}")
@@ -279,30 +289,37 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     def joined(found: DataFrame, name: str) -> DataFrame:
         """Components after more links: those so far stand for the links that made them."""
         links = found if labels is None else found.unionByName(labels.where("v != c").select(F.col("v").alias("a"), F.col("c").alias("b")))
-        return components(ws, links, name)
+        out = components(ws, links, name)
+        ws.drop(*[f"{x}-components" for x in rounds])
+        rounds[:] = [name]
+        return out
 
-    def renamed(rest: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        """Lists with the components as they are now, and their summaries."""
+    def renamed(rest: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Lists with the components as they are now, their summaries, and the sets in them."""
         rest = rest.select("src", F.lit(1).alias("late"), "payload", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("c"))
         if labels is not None:
             named = has.join(labels, has.s == labels.v).select("src", F.lit(0).alias("late"), F.lit(None).cast("binary").alias("payload"), "s", "c")
             rest = rest.unionByName(named)
         again = ws.save(rest.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_relabel(buckets, turn + 1), _ROW_DDL), f"again{turn}", ["kind"])
-        return again.where(f"kind = {_LIST}").select("src", "payload"), again.where(f"kind = {_SUM}").select("bucket", "payload")
+        return again.where(f"kind = {_LIST}").select("src", "payload"), again.where(f"kind = {_SUM}").select("bucket", "payload"), again.where(f"kind = {_HAS}").select("s").distinct()
 
     found = sets  # anything but None: the closest sets haven't been asked for yet
     for turn in range(1, ROUNDS + 1):
         answers = settle(turn)
+        ws.drop(f"{base}/kind={_SUM}", f"again{turn - 1}/kind={_SUM}")
         if not answers.limit(1).count():
             lists = None
             break
         both = lists.select("src", F.lit(1).alias("late"), "payload").unionByName(answers.select("src", F.lit(0).alias("late"), "payload"))
         star = ws.save(both.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_star, _PAIR_DDL), f"star{turn}", ["kind"])
+        ws.drop(f"{base}/kind={_LIST}", f"again{turn - 1}", f"answers{turn}")
         found = ws.save(_verified(star.where(f"kind = {_SUM}").select("a", "b").distinct(), sets, num, den), f"found{turn}")
         if found.limit(1).count():
             labels = joined(found, f"round{turn}")
-        lists, sums = renamed(star.where(f"kind = {_LIST}").select("src", "payload"), turn)
-        ws.drop(f"answers{turn}", f"star{turn}", f"again{turn - 1}")
+        lists, sums, live = renamed(star.where(f"kind = {_LIST}").select("src", "payload"), turn)
+        # sets whose lists are all closed have no further links to find
+        sets = ws.save(sets.join(live, "s", "left_semi"), f"sets{turn}")
+        ws.drop(f"star{turn}", f"found{turn}", f"sets{turn - 1}")
     turn = ROUNDS
     while lists is not None:
         # what is left: pairs across components in a signature's list; the closest ones first, all in the end
@@ -317,31 +334,55 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         rest = ws.save(rest, f"open{turn}")
         pairs = rest.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_cross(num, den, closest), "a long, b long").distinct()
         found = ws.save(_verified(pairs, sets, num, den), f"found{turn}")
+        ws.drop(f"answers{turn}", f"open{turn}")
         if found.limit(1).count():
             labels = joined(found, f"round{turn}")
+            ws.drop(f"found{turn}")
         else:
             found = None
         if not closest:
             break
         if found is not None:
-            lists, sums = renamed(lists, turn)
-        ws.drop(f"answers{turn}", f"open{turn}")
+            lists, sums, _ = renamed(lists, turn)
+            ws.drop(f"again{turn - 1}")
 
     # distinct sets, their components, and the least document of each
-    groups = members.where("n > 0").groupBy("k1").agg(F.min("id").alias("least"))
-    if labels is not None:
-        groups = groups.join(labels, groups.k1 == labels.v, "left").select("k1", "least", F.coalesce("c", "k1").alias("c"))
-        groups = ws.save(groups, "groups")
-        least = groups.groupBy("c").agg(F.min("least").alias("component_id"))
-        groups = groups.join(least, "c").select("k1", "component_id")
+    filled = members.where("n > 0")
+    if alias:
+        names = spark.createDataFrame([(*k, v) for k, v in alias.items()], "k1 long, k2 long, other long")
+        filled = filled.join(F.broadcast(names), ["k1", "k2"], "left").withColumn("s", F.coalesce("other", "k1"))
     else:
-        groups = groups.select("k1", F.col("least").alias("component_id"))
-    out = members.where("n > 0").join(groups, "k1").select("id", F.col("n").alias("n_shingles"), "component_id")
+        filled = filled.withColumn("s", F.col("k1"))
+    filled = filled.select("id", F.col("n").alias("n_shingles"), "s")
+    groups = filled.groupBy("s").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+    if labels is not None:
+        groups = ws.save(groups.join(labels, groups.s == labels.v, "left").select("s", "component_id", "n", F.coalesce("c", "s").alias("c")), "groups")
+        least = groups.groupBy("c").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+        groups = spread_join(groups.select("s", "c", F.col("n").alias("rows")), least, ["c"], groups.count()).select("s", "component_id", F.col("rows").alias("n"))
+    groups = ws.save(groups, "named")
+    out = spread_join(filled, groups, ["s"], members.count()).select("id", "n_shingles", "component_id")
     none = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return ws.finish(out.unionByName(none).withColumnRenamed("id", id_col))
 
 
-def _first_pass(shingle: int, bits: int, seed: int):
+def _aliases(members: DataFrame) -> dict[tuple[int, int], int]:
+    """Keys of one half for the few different sets whose first halves are equal: some three pairs in 10^10 sets."""
+    clash = members.where("n > 0").groupBy("k1").agg(F.min("k2").alias("x"), F.max("k2").alias("y")).where("x != y").select("k1").limit(CLASHES + 1)
+    keys = [r.k1 for r in clash.collect()]  # at most CLASHES + 1 rows
+    if not keys:
+        return {}
+    if len(keys) > CLASHES:
+        raise ValueError("more clashing set keys than chance allows")
+    both = {(r.k1, r.k2) for r in members.where("n > 0").join(F.broadcast(clash), "k1").select("k1", "k2").distinct().collect()}
+    for turn in range(1, 100):
+        alias = {k: xxhash.xxh3_64_intdigest(np.array(k, np.int64).tobytes(), seed=turn) - (1 << 63) for k in both}
+        names = members.sparkSession.createDataFrame([(v,) for v in alias.values()], "k1 long")
+        if len(set(alias.values())) == len(alias) and not members.join(F.broadcast(names), "k1", "left_semi").limit(1).count():
+            return alias
+    raise ValueError("no free set keys")
+
+
+def _first_pass(shingle: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, known, size = WordHasher(), [], set(), 0
 
@@ -356,7 +397,7 @@ def _first_pass(shingle: int, bits: int, seed: int):
         for batch in batches:
             ids, texts = rows_of(batch, "id", "text")
             found = shingle_sets([normalise(t) for t in texts], hasher, shingle)
-            keys = [set_key(s, seed) for s in found]
+            keys = [set_key(s) for s in found]
             n = len(ids)
             yield to_batch(_FIRST, [[_SET] * n, ids, [len(s) for s in found], [k[0] for k in keys], [k[1] for k in keys], *[[None] * n] * 3])
             for s, k in zip(found, keys):
@@ -373,7 +414,7 @@ def _first_pass(shingle: int, bits: int, seed: int):
     return run
 
 
-def _second_pass(shingle: int, table, bits: int, seed: int, num: int, den: int, buckets: int, wanted: list | None):
+def _second_pass(shingle: int, table, bits: int, alias: dict[tuple[int, int], int], num: int, den: int, buckets: int, wanted: list | None):
     """Sets, signature lists by block, and a summary of each list for its bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +477,8 @@ def _second_pass(shingle: int, table, bits: int, seed: int, num: int, den: int,
             for elements in shingle_sets([normalise(t) for t in batch.column(1).to_pylist()], hasher, shingle):
                 size += len(elements)
                 if len(elements):
-                    s = set_key(elements, seed)[0]
+                    key = set_key(elements)
+                    s = alias.get(key, key[0])
                     if s not in known:
                         known.add(s)
                         take(elements, s)
@@ -552,6 +594,7 @@ def _relabel(buckets: int, turn: int):
                 comps = np.array([named.get(x, x) for x in own.tolist()], np.int64)[where] if len(own) else sets
                 rows = [(_LIST, src, None, _lists(keys, sets, comps, roles), None, None)]
                 rows += [(_SUM, src, to, packed, None, None) for to, packed in _summaries(keys, sets, comps, roles, src, buckets, turn)]
+                rows += [(_HAS, None, None, None, x, None) for x in own.tolist()]
                 for at in range(0, len(rows), 100):
                     yield to_batch(_ROW, list(zip(*rows[at : at + 100])))
 

@@ -41,16 +41,23 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def pack_gaps(sorted_cells: np.ndarray) -> bytes:
-    """Ascending integers as gaps, in the least width that holds them."""
-    gaps = np.diff(sorted_cells, prepend=sorted_cells.dtype.type(0))
-    top = int(gaps.max()) if len(gaps) else 0
-    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + gaps.astype(kind).tobytes()
+    """Ascending integers as gaps of one or two bytes; the highest value of either adds itself and goes on."""
+    if not len(sorted_cells):
+        return b"\1"
+    gaps = np.diff(sorted_cells.astype(np.int64), prepend=0)
+    kind = np.uint8 if gaps.mean() < 100 else np.uint16
+    top = np.iinfo(kind).max
+    more, rest = np.divmod(gaps, top)
+    at = np.cumsum(more + 1) - 1
+    out = np.full(at[-1] + 1, top, kind)
+    out[at] = rest
+    return bytes([out.itemsize]) + out.tobytes()
 
 
 def unpack_gaps(packed: bytes) -> np.ndarray:
-    gaps = np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[packed[0]], offset=1)
-    return np.cumsum(gaps, dtype=np.int64)
+    kind = {1: np.uint8, 2: np.uint16}[packed[0]]
+    gaps = np.frombuffer(packed, kind, offset=1)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != np.iinfo(kind).max]
 
 
 def count_cells(h: np.ndarray, bits: int, depth: int = DEPTH) -> pa.RecordBatch:
@@ -94,14 +101,15 @@ def merge(spark: SparkSession, cells: DataFrame, bits: int, depth: int = DEPTH)
 
     spread = cells.repartition(parallelism(spark), "chunk").sortWithinPartitions("chunk")
     merged = spread.mapInArrow(add, "chunk long, bits binary").toArrow()
-    table = np.zeros(depth << (bits - 3), np.uint8)
+    table = bytearray(depth << (bits - 3))
     width = 1 << (chunk_bits - 3)
     for chunk, part in zip(merged.column("chunk").to_pylist(), merged.column("bits")):
-        table[chunk * width : (chunk + 1) * width] = np.frombuffer(part.as_buffer(), np.uint8)
-    return spark.sparkContext.broadcast(table.tobytes())
+        table[chunk * width : (chunk + 1) * width] = part.as_buffer()
+    del merged
+    return spark.sparkContext.broadcast(table)  # at most DEPTH * 2**MAX_BITS / 8 bytes
 
 
-def maybe_repeated(h: np.ndarray, table: bytes, bits: int, depth: int = DEPTH) -> np.ndarray:
+def maybe_repeated(h: np.ndarray, table: bytearray, bits: int, depth: int = DEPTH) -> np.ndarray:
     """False for items that surely occur once."""
     bitmap = np.frombuffer(table, np.uint8)
     out = np.ones(len(h), bool)
