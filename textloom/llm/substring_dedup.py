@@ -12,9 +12,11 @@ groups only windows estimated repeated, exactly:
   smallest document of each;
 * verdicts travel as packed arrays by document bucket and meet the texts there.
 
-Null texts have no words.  A null document id counts as larger than all others,
-and equal ids don't repeat each other.  Rows repeating an id are judged one by
-one.  Texts shorter than a window are kept whole.
+Null texts have no words.  A null document id counts as larger than all others
+(as the largest 64-bit integer does), and equal ids don't repeat each other.  Rows
+repeating an id are judged one by one.  Texts shorter than a window are kept whole.
+Very long texts are taken whole, as one row of their batch.  An empty table gives no
+rows.  Of the input's columns only id and text are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -142,6 +144,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             yield close()
 
     table = sketch.merge(spark, docs.mapInArrow(count, sketch.CELLS_DDL), bits)
+    ws.release()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = _Blocks(window, True)
@@ -172,6 +175,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             yield from _emit(close())
 
     parts = ws.save(docs.mapInArrow(candidates, _PART_DDL), "windows", ["kind"])
+    table.unpersist()
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -197,8 +201,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             yield from close()
 
     tasks = parallelism(spark)
-    grouped = parts.where(f"kind = {_GROUP}").select("bucket", "payload").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(group, _PART_DDL)
-    flags = ws.save(grouped, "flags").select("bucket", "payload").unionByName(parts.where(f"kind = {_FLAG}").select("bucket", "payload"))
+    flags = ws.save(parts.where(f"kind = {_GROUP}").select("bucket", "payload").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(group, _PART_DDL), "flags")
+    ws.drop(f"windows/kind={_GROUP}")
+    flags = flags.select("bucket", "payload").unionByName(parts.where(f"kind = {_FLAG}").select("bucket", "payload"))
 
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * keep_text)
 
