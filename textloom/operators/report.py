@@ -1,6 +1,7 @@
 """Reports: noise removal, language, features, score, flags, verdict and defects of each document.
 
-English and other rows take separate branches, so that each is measured once.
+One pass over the rows: English measures see a null text in other rows, and the other
+way round, which costs next to nothing, and each row takes the report of its language.
 """
 
 from __future__ import annotations
@@ -65,26 +66,62 @@ def evaluate(df: DataFrame, text: str = "text", lang: str | None = None) -> Data
     """Adds language (found if ``lang`` is None) and the report's columns.
 
     The score measures prose; English observations look at the raw text.  The verdict is
-    withheld (null) where bands weren't measured for the language.
+    withheld (null) where bands weren't measured for the language.  A null language is
+    found, and a null text is empty.
     """
     df = T.settled(df, _prose=language.strip_noise(F.col(text)))
-    df = language.detect(df, "_prose") if lang is None else df.withColumns({"language": F.col(lang), "confidence": F.lit(1.0), "ambiguous": F.lit(False)})
+    if lang is None:
+        df = language.detect(df, "_prose")
+    else:
+        # a language that isn't given is found; the others' texts aren't looked at
+        df = T.settled(df, _given=F.col(lang)).withColumn("_unknown", F.when(F.col("_given").isNull(), F.col("_prose")))
+        found = language.detect(df.drop("language"), "_unknown") if "language" in df.columns else language.detect(df, "_unknown")
+        given = F.col("_given").isNotNull()
+        df = found.withColumns(
+            {"language": F.coalesce("_given", "language"), "confidence": F.when(given, F.lit(1.0)).otherwise(F.col("confidence")), "ambiguous": ~given & F.col("ambiguous")}
+        ).drop("_given", "_unknown")
     kept = [c for c in df.columns if c != "_prose"]
-    en = english.score(english.features(df.where("language = 'en'"), "_prose"), fixed.ENGLISH_BANDS)
-    en = T.settled(english.observations(en, text), flags=observation_flags())
+    own = {c: f"_kept_{c}" for c in kept}  # measures may be named like columns of the table
+    df = df.withColumnsRenamed(own)
+    is_en = F.col("_kept_language") == "en"
+    df = df.withColumns({"_en": F.when(is_en, F.col("_prose")), "_raw": F.when(is_en, F.col(own[text])), "_other": F.when(~is_en, F.col("_prose")), "_code": F.col("_kept_language")}).drop("_prose")
+    df = _english(df)
+    df = _indic(df)
+    df = df.withColumn("_report", F.when(is_en, F.col("_report_en")).otherwise(F.col("_report_other")))
+    return df.select(*[F.col(v).alias(k) for k, v in own.items()], "_report.*")
+
+
+def _packed(df: DataFrame, bands: list, name: str, kept: list[str]) -> DataFrame:
+    """The report as one struct column."""
+    df = _closing(df, bands, kept)
+    return T.settled(df, **{name: F.struct(*COMMON)}).select(*kept, name)
+
+
+def _english(df: DataFrame) -> DataFrame:
+    kept = df.columns
+    en = english.score(english.features(df, "_en"), fixed.ENGLISH_BANDS)
+    en = T.settled(english.observations(en, "_raw"), flags=observation_flags())
     silent = (F.col("tell_1k") == 0) & (F.col("colon_lists_1k") == 0)
     overrides = (silent | (F.size("flags") > 0)) & (F.col("ai_likeness") <= fixed.HUMAN_TO)
     band = verdict_band(F.col("ai_likeness"), F.col("words"))
-    named = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
     en = en.withColumns({"verdict": F.when(overrides, F.lit("mixed")).otherwise(band), "calibrated": F.lit(True)}).withColumn(
         "label",
-        F.when(overrides, F.when(F.size("flags") > 0, F.lit("Not judged human — unscored signals disagree")).otherwise(F.lit("No stock AI vocabulary found"))).otherwise(named[F.col("verdict")]),
+        F.when(overrides, F.when(F.size("flags") > 0, F.lit("Not judged human — unscored signals disagree")).otherwise(F.lit("No stock AI vocabulary found"))).otherwise(_named(F.col("verdict"))),
     )
-    other = english.score(indic.features(df.where("language <> 'en'"), "_prose"), fixed.INDIC_BANDS)
-    other = T.settled(other, flags=indic.flags(F.col("_prose"), F.col("language"), F.col("purity"), F.col("words")))
-    measured = language.calibrated(F.col("language"))
-    other = other.withColumns({"calibrated": measured, "verdict": F.when(measured, band)}).withColumn("label", named[F.col("verdict")])
-    return _closing(en, fixed.ENGLISH_BANDS, kept).unionByName(_closing(other, fixed.INDIC_BANDS, kept))
+    return _packed(en, fixed.ENGLISH_BANDS, "_report_en", kept)
+
+
+def _indic(df: DataFrame) -> DataFrame:
+    kept = df.columns
+    other = english.score(indic.features(df, "_other", "_code"), fixed.INDIC_BANDS)
+    other = T.settled(other, flags=indic.flags(F.col("_other"), F.col("_code"), F.col("purity"), F.col("words")))
+    measured = language.calibrated(F.col("_code"))
+    other = other.withColumns({"calibrated": measured, "verdict": F.when(measured, verdict_band(F.col("ai_likeness"), F.col("words")))}).withColumn("label", _named(F.col("verdict")))
+    return _packed(other, fixed.INDIC_BANDS, "_report_other", kept)
+
+
+def _named(verdict: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[verdict]
 
 
 def verdict_rollup(df: DataFrame, text: str = "text", by: str = "lang") -> DataFrame:

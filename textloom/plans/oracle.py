@@ -195,3 +195,75 @@ def verdict(likeness: str, n: str) -> str:
 SEEDED = f"SELECT doc_id, lang, text, {strip_noise('text')} AS prose FROM ({SEEDED_SQL})"
 INDIC = f"SELECT id, lang, text, CASE WHEN lang IN ({', '.join(map(q, language.SCRIPT_OF))}) THEN lang ELSE 'hi' END AS code, {strip_noise('text')} AS prose FROM ({INDIC_SQL})"
 REVISIONS = REVISIONS_SQL
+
+
+def re2(pattern: str) -> str:
+    """A pattern with white space spelt out, inside and outside of classes."""
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            out += (T.SPACE if inside else WS) if pattern[i + 1] == "s" else pattern[i : i + 2]
+            i += 2
+            continue
+        inside = pattern[i] == "[" or (inside and pattern[i] != "]")
+        out += pattern[i]
+        i += 1
+    return out
+
+
+def canonical(kind: str) -> str:
+    low = f"lower({trim('raw')})"
+    if kind == "url":
+        return f"rtrim({low}, '.,;:!?''\"')"
+    if kind in ("dosage", "price", "percent"):
+        bare = f"replace(regexp_replace({low}, {q(WS + '+')}, '', 'g'), ',', '')"
+        return f"regexp_replace({bare}, '^(rs\\.?|inr)', '₹')"
+    return f"replace({low}, ',', '')" if kind == "number" else low
+
+
+def spans(source: str, text: str) -> str:
+    """doc_id, kind, raw, canonical, start, stop: for each kind in turn, matches that touch no span of an earlier kind."""
+    ctes = [f"src AS (SELECT doc_id, {text} AS t FROM ({source}))"]
+    for i, (kind, pattern) in enumerate(fixed.SPANS):
+        marked = f"string_split(regexp_replace(t, {q(re2(pattern))}, chr(1) || '\\0' || chr(2), 'g'), chr(1))"
+        pieces = f"SELECT doc_id, parts[1] AS head, unnest(parts[2:]) AS piece, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, {marked} AS parts FROM src) WHERE len(parts) > 1"
+        cut = f"SELECT doc_id, head, i, split_part(piece, chr(2), 1) AS raw, split_part(piece, chr(2), 2) AS rest FROM ({pieces})"
+        at = f"SELECT doc_id, raw, length(head) + sum(length(raw) + length(rest)) OVER (PARTITION BY doc_id ORDER BY i) - length(raw) - length(rest) AS start FROM ({cut})"
+        ctes.append(f"m{i} AS (SELECT doc_id, '{kind}' AS kind, raw, {canonical(kind)} AS canonical, start::INT AS start, (start + length(raw))::INT AS stop FROM ({at}))")
+        free = f" WHERE NOT EXISTS (SELECT 1 FROM c{i - 1} c WHERE c.doc_id = m{i}.doc_id AND c.start < m{i}.stop AND m{i}.start < c.stop)" if i else ""
+        ctes.append(f"c{i} AS (SELECT * FROM m{i}{free}" + (f" UNION ALL SELECT * FROM c{i - 1})" if i else ")"))
+    return f"WITH {', '.join(ctes)} SELECT * FROM c{len(fixed.SPANS) - 1}"
+
+
+def span_problems(source: str, before: str, after: str) -> str:
+    """doc_id, problem: one row for each value missing or new, with multiplicity."""
+    side = lambda text, a, b: f"SELECT doc_id, kind || ':' || canonical AS v, {a} AS a, {b} AS b FROM ({spans(source, text)})"
+    counts = f"SELECT doc_id, v, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM ({side(before, 1, 0)} UNION ALL {side(after, 0, 1)}) GROUP BY ALL"
+    return (
+        f"WITH n AS ({counts}) SELECT doc_id, 'missing ' || v AS problem FROM (SELECT doc_id, v, unnest(range(greatest(a - b, 0))) FROM n) "
+        "UNION ALL SELECT doc_id, 'new ' || v FROM (SELECT doc_id, v, unnest(range(b)) FROM n WHERE a = 0)"
+    )
+
+
+def plain(x: str) -> str:
+    return f"(CASE WHEN {x} = floor({x}) THEN floor({x})::BIGINT::VARCHAR ELSE {x}::VARCHAR END)"
+
+
+FIRED = (
+    "list_filter([CASE WHEN nominal_1k > 30 THEN 'flag:nominalisation:' || " + plain("nominal_1k") + " || ' nominalisations per 1000 words' END, "
+    "CASE WHEN contraction_1k = 0 AND x_words > 150 THEN 'flag:contractions:no contractions anywhere' END, "
+    "CASE WHEN person_1k < 5 AND x_words > 150 THEN 'flag:impersonal:' || " + plain("person_1k") + " || ' first/second-person words per 1000' END, "
+    "CASE WHEN lead_frac > 0.2 AND x_sents > 5 THEN 'flag:adverbial-leads:' || floor(lead_frac * 100 + 0.5)::BIGINT::VARCHAR || '% of sentences open with an adverbial lead' END, "
+    "CASE WHEN x_sent_cv < 0.3 AND x_sents > 5 THEN 'flag:uniform-rhythm:sentence-length variation ' || " + plain("x_sent_cv") + " END], lambda f: f IS NOT NULL)"
+)
+
+
+def english_report(source: str, text: str) -> str:
+    """doc_id, words, tell_1k, colon_lists_1k, ai_likeness, objective, fired, defects of texts taken as English."""
+    keep = "doc_id, words, tell_1k, colon_lists_1k, para_cv, passive_ratio"
+    texts = f"SELECT doc_id, {text} AS text, {strip_noise(text)} AS prose FROM ({source})"
+    failing = ", ".join(f"CASE WHEN NOT ok_{k} THEN 'param:{k}' END" for k, *_ in fixed.ENGLISH_BANDS)
+    return (
+        f"SELECT doc_id, words, tell_1k, colon_lists_1k, ai_likeness, objective, {FIRED} AS fired, list_concat(list_filter([{failing}], lambda p: p IS NOT NULL), {FIRED}) AS defects "
+        f"FROM ({score(english_features(texts, 'doc_id'), fixed.ENGLISH_BANDS, keep)}) JOIN ({observations(texts, 'doc_id')}) USING (doc_id)"
+    )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import table
+
 SNIPPETS = [
     "",
     "\nMoreover, it is important to note that we delve into a robust plan. Furthermore, in order to win we keep a wide range of tools. Moreover, it helps.",
@@ -29,7 +31,7 @@ def quote(s: str) -> str:
 
 def seeded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, text: each document with the snippet of its id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents", "doc_id").select("doc_id", "lang", "text")
     snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.pmod("doc_id", F.lit(len(SNIPPETS))) + 1).cast("int"))
     return docs.select("doc_id", "lang", F.concat(F.coalesce("text", F.lit("")), snippet).alias("text"))
 
@@ -74,7 +76,7 @@ INDIC_SQL = "SELECT id::BIGINT AS id, lang, text FROM (VALUES " + ", ".join(f"({
 
 #: Edits of the seeded text, one class for each gate; (edit number, what is put at the end or replaced).
 HEDGED = "\nIt may reduce risk by about 12 units. The limit is 40 units, often less. The pact holds, the price holds, the term holds, the plan holds."
-EDITS = 8
+EDITS = 9
 
 
 def _edit(c, replace, concat, when):
@@ -89,6 +91,7 @@ def _edit(c, replace, concat, when):
             lambda: replace(c, "holds, the", "holds the"),  # commas go, sentences don't come
             lambda: concat(c, "\n\nA stub."),  # a short paragraph
             lambda: replace(c, "about 12 units", "around 12 units"),  # an equal hedge
+            lambda: replace(c, "may reduce", "will reduce"),  # a hedge goes and its claim stands bare
         ]
     )
 

@@ -1,4 +1,4 @@
-"""Tables written to the folder that driver and executors share, to cut a long lineage."""
+"""Reading tables, and writing them to the folder that driver and executors share, to cut a long lineage."""
 
 from __future__ import annotations
 
@@ -22,3 +22,10 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.parquet(out)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table; one of fewer files than cores is dealt by its key, since a file of one row group is one task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
