@@ -1,12 +1,16 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences.  A sentence, normalised, that equals or fits a known
-licence sentence gets its identifier; so does each run of whole lines in a sentence,
-since headings, comments and lists often lack a full stop.  Identifier
+A text is cut into sentences.  A sentence, normalised, that a map holds as a known licence
+sentence gets its identifier, and one that names a licence gets it by a pattern; so does
+each run of whole lines in a sentence, since headings, comments and lists often lack a
+full stop.  Identifier
 sequences are then matched, left to right and longest rule first, against rules that
 list identifiers in order.  Sentences without a rule are reported as such.
 
-Works on each text alone: no shuffle.  Null and empty texts have status ``none``.
+Works on each text alone: no shuffle.  Null and empty texts have status ``none``.  Very
+long texts are scanned whole, in time that grows with their length: each line is looked
+at with at most ``LONGEST`` characters after it.  Repeated rows and ids each get a row,
+and an empty table gives none.  Only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches, clean, rows_of, to_batch
 
 # What may precede "licensed under": a subject, unless it denies or conditions.
-_SUBJECT = r"(?:(?!(?:if|unless|until|when|whether|no|none|not|nothing|neither|never|nor)\b)(?:(?!\b(?:not|no|if|unless)\b)[^.!?;:]){1,80}? (?:is|are) (?:also )?)?"
+_SUBJECT = r"(?:(?!(?:if|unless|until|when|whether|no|none|not|nothing|neither|never|nor)\b)(?:(?!\b(?:not|no|if|unless)\b)[^.!?;:])+? (?:is|are) (?:also )?)?"
 # Wording of public licences, normalised; patterns of statements that name one.
 SENTENCES: list[tuple[str, str]] = [
     ("spdx", r"spdx-license-identifier: ?(?P<name>[\w.+-]+)"),
@@ -40,7 +44,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsd-grant", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd-source", r"redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
-    ("bsd-endorse", r"neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-endorse", r"neither the name of .+? nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd-warranty", r"this software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("isc-grant", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("isc-warranty", r"the software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
@@ -51,7 +55,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("apache-see", r"see the license for the specific language governing permissions and limitations under the license"),
     ("gpl-free", r"this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version (?P<name>\d) of the license, or \(at your option\) any later version"),
     ("gpl-hope", r"this program is distributed in the hope that it will be useful, but without any warranty"),
-    ("copyright", r"(?:copyright|©)(?: \(c\)| ©)?.{0,120}"),
+    ("copyright", r"(?:copyright|©)(?: \(c\)| ©)?.*"),
 ]
 # Ordered sentence identifiers of each licence; names in braces come from the sentences.
 RULES: list[tuple[tuple[str, ...], str]] = [
@@ -78,17 +82,26 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("named-unlicense",), "Unlicense"),
 ]
 
-_KNOWN = [(key, re.compile(pattern)) for key, pattern in SENTENCES]
+def _plain(pattern: str) -> str | None:
+    """The sentence that a pattern stands for, if it is one without alternatives."""
+    bare = re.sub(r"\\([()\".])", "", pattern)
+    return None if re.search(r"[\\()\[\]|*+?.{}^$]", bare) else re.sub(r"\\(.)", r"\1", pattern)
+
+
+#: Known sentences by their normalised text, and patterns of those that hold names or have several forms.
+EXACT = {text: key for key, pattern in SENTENCES if (text := _plain(pattern))}
+_NAMED = [(key, re.compile(pattern)) for key, pattern in SENTENCES if _plain(pattern) is None and key != "copyright"]
+_COPYRIGHT = next(re.compile(pattern) for key, pattern in SENTENCES if key == "copyright")
 _BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0]))
 _TRIGGER = re.compile(r"licen[sc]e|copyright|©|spdx|redistribut|permission|public domain|warrant|unencumbered", re.I)
-#: No known sentence is longer when normalised.
-LONGEST = 600
+#: A statement reaches over lines of so many characters together when normalised, or is one line of any length.
+LONGEST = 2000
 _END = re.compile(r"(?:[.!?;]|(?<!dentifier):)(?=[\s\"')]|$)|\n[\s#*/;%|]*\n")
 _LEAD = re.compile(r"^(?:\s*<!--)?[\s#*/;%>|+-]*(?:\(?(?:\d{1,2}|[a-z])[.)]\s+)?[\s*-]*")
 # How known sentences begin.
 _OPENING = re.compile(
     r"spdx-|permission |the (?:above|software) |in no event|redistribution|neither the|this (?:software|program|source|is free)|you may|https?:|unless required|see the|copyright|©"
-    r"|.{0,100}?(?:licensed|released|distributed|available|dedicated) (?:under|to) "
+    r"|.*?(?:licensed|released|distributed|available|dedicated) (?:under|to) "
 )
 _TAIL = re.compile(r"\s*(?:\*+/|-->)\s*$")
 _SPACE = re.compile(r"\s+(?:[#*/;%>|]+\s+)?")
@@ -100,14 +113,25 @@ def normalise_sentence(sentence: str) -> str:
     return _SPACE.sub(" ", _LEAD.sub("", _TAIL.sub("", s))).strip(" .!?:;")
 
 
-def recognise(sentence: str) -> tuple[str, dict[str, str]] | None:
-    s = normalise_sentence(sentence)
-    for key, pattern in _KNOWN:
-        if m := pattern.fullmatch(s):
-            if key == "spdx":  # identifiers keep their case
-                return key, {"name": re.search(r"(?i)identifier:\s*([\w.+-]+)", sentence)[1].rstrip(".")}
-            return key, {k: v or "" for k, v in m.groupdict().items()}
-    return None
+def _recognised(run: str, ends: list[int]) -> tuple[int, str, dict[str, str]] | None:
+    """The longest known sentence from the run's start to one of its lines' ends: which end, identifier, names."""
+    for k in range(len(ends) - 1, -1, -1):
+        if (key := EXACT.get(run[: ends[k]])) is not None:
+            return k, key, {}
+    best = None
+    for key, pattern in _NAMED:
+        m = pattern.match(run)
+        if m is None:
+            continue
+        for k in range(len(ends) - 1, -1, -1):
+            if best and k <= best[0]:
+                break
+            if ends[k] <= m.end() and (found := m if ends[k] == m.end() else pattern.fullmatch(run, 0, ends[k])):
+                best = k, key, {name: v or "" for name, v in found.groupdict().items()}
+                break
+    if best is None and _COPYRIGHT.match(run):
+        return 0, "copyright", {}  # takes any wording, so it ends with its line
+    return best
 
 
 def sentences(text: str) -> Iterator[tuple[int, str]]:
@@ -122,28 +146,29 @@ def sentences(text: str) -> Iterator[tuple[int, str]]:
 
 
 def _statements(sentence: str) -> Iterator[tuple[int, tuple[str, dict[str, str]]]]:
-    """Known statements in runs of a sentence's lines, left to right and longest first."""
+    """Known statements in runs of a sentence's lines, left to right and longest first; each line is normalised once."""
     edges = [0, *(m.end() for m in re.finditer(r"\n", sentence)), len(sentence)]
-    # what a line adds to a run's length at least
-    size = [len(normalise_sentence(sentence[a:b])) for a, b in zip(edges, edges[1:])]
+    lines = [normalise_sentence(sentence[a:b]) for a, b in zip(edges, edges[1:])]
     i = 0
-    while i < len(size):
-        j, held = i + 1, size[i]
-        while j < len(size) and held + size[j] <= LONGEST:
-            held += size[j]
-            j += 1
-        if not _OPENING.match(normalise_sentence(sentence[edges[i] : edges[j]])):
+    while i < len(lines):
+        if not lines[i]:
             i += 1
             continue
-        for j in range(j, i, -1):
-            found = recognise(sentence[edges[i] : edges[j]])
-            # a copyright line takes any wording, so it ends with its line
-            if found and (found[0] != "copyright" or j == i + 1):
-                yield edges[i], found
-                i = j
+        run, ends = lines[i], [len(lines[i])]
+        for j in range(i + 1, len(lines)):
+            if len(run) + len(lines[j]) > LONGEST:
                 break
-        else:
+            run = f"{run} {lines[j]}" if lines[j] else run
+            ends.append(len(run))
+        found = _recognised(run, ends) if _OPENING.match(run) else None
+        if found is None:
             i += 1
+            continue
+        k, key, names = found
+        if key == "spdx":  # identifiers keep their case
+            names = {"name": re.search(r"(?i)identifier:\s*([\w.+-]+)", sentence[edges[i] :])[1].rstrip(".")}
+        yield edges[i], (key, names)
+        i += k + 1
 
 
 def identify(text: str) -> list[tuple[int, str, dict[str, str]]]:
