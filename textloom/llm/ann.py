@@ -20,7 +20,9 @@ inverted file is ever gathered in one task.
 
 Vectors that are null, empty, zero, of another length than most or with null or
 non-finite components take no part, neither as queries nor as candidates.  Rows
-without an id don't either.  Of rows repeating an id, each counts.
+without an id don't either.  Of rows repeating an id, each counts.  Components are taken
+as doubles throughout.  An empty table gives no rows.  Only id and vector are read, so
+other columns can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, clean, parallelism, rows_of, to_batch
+from .common import Workspace, clean, parallelism, spread_join, to_batch
 
 PIVOTS = 256
 NEAREST = 96
@@ -94,19 +96,19 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries=None, id_col: str =
     ``queries`` is a condition on the column ``id`` (default: ids divisible by 20).
     """
     ws = Workspace(spark, "ann")
-    rows = clean(vectors, id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<float>"))
+    rows = clean(vectors, id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<double>"))
     fine = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     fine &= F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(fine)
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     dim = sizes[0].d if sizes else 1
-    rows = rows.where(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))  # one zero
+    rows = rows.where(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # one zero
     condition = F.col("id") % 20 == 0 if queries is None else queries
 
     # equal vectors once, with their least ids; a query leaves itself out, hence one more than k
     least = rows.groupBy("v").agg(F.min("id").alias("head"), F.count("*").alias("n"))
     single = least.where("n = 1").select("v", F.array("head").alias("ids"))
-    many = rows.join(least.where("n > 1").select("v"), "v", "left_semi")
+    many = spread_join(rows, least.where("n > 1").select("v", "n"), ["v"], rows.count())
     salted = many.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     for keys in (["v", "salt"], ["v"]):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
