@@ -22,7 +22,9 @@ Only suffixes that can matter are sorted:
 
 Matches never cross documents, since windows don't.  Null texts are empty; texts
 under 400 bytes are kept as they are.  Rows repeating an id are told apart by their
-texts.  Digests have 128 bits.
+texts.  Digests have 128 bits.  Very long texts are winnowed whole, as one row of their
+batch, and travel as segments of bounded size.  An empty table gives no rows.  Only id,
+text and the columns to carry are read, the latter inside a struct, so names can't clash.
 """
 
 from __future__ import annotations
@@ -287,6 +289,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
             yield sketch.count_cells(np.concatenate(held), bits)
 
     table = sketch.merge(spark, docs.mapInArrow(count, sketch.CELLS_DDL), bits)
+    ws.release()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list] = {}
@@ -327,6 +330,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         yield from close()
 
     parts = ws.save(docs.mapInArrow(segments, _ROW_DDL), "segments", ["kind"])
+    table.unpersist()
     cols = [f.name for f in _ROW][2:]
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,6 +365,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
     grouped = parts.where(f"kind = {_SEGMENT}").select(*cols).repartition(tasks, "d1", "d2").sortWithinPartitions("d1", "d2").mapInArrow(same, _ROW_DDL)
     distinct = ws.save(grouped, "distinct", ["kind"])
+    ws.drop(f"segments/kind={_SEGMENT}")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor: whole anchors fill a block; anchors at a task's edges, or over a block's size, stay open."""
@@ -420,6 +425,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
     ranged = distinct.where(f"kind = {_SEGMENT}").select(*cols).repartitionByRange(tasks, "anchor", "d1").sortWithinPartitions("anchor", "d1", "d2")
     solved = ws.save(ranged.mapInArrow(blocks, _ROW_DDL), "solved", ["kind"])
+    ws.drop(f"distinct/kind={_SEGMENT}")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Digests come by bucket, each at most once from a block."""
@@ -450,6 +456,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
     met = solved.where(f"kind = {_DIGEST}").select("bucket", "payload").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _ROW_DDL)
     met = ws.save(met, "met")
+    ws.drop(f"solved/kind={_DIGEST}")
 
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * keep_text)
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
