@@ -59,6 +59,8 @@ WORD_BYTES = 6
 #: Shingles of a block of documents, and of corpus for each signature bucket.
 BLOCK = 2_000_000
 PER_BUCKET = 1_000_000
+#: Shingles of a block of signature lists, whose keys a worker holds and sorts.
+LIST_BLOCK = 1_250_000
 #: Rounds of leaders before single pairs.
 ROUNDS = 2
 #: At most so many rounds of closest sets, looking into so many of a set's lists.
@@ -482,7 +484,7 @@ def _second_pass(shingle: int, table, bits: int, alias: dict[tuple[int, int], in
                     if s not in known:
                         known.add(s)
                         take(elements, s)
-            if size >= BLOCK:
+            if size >= LIST_BLOCK:
                 yield from close()
         yield from close()
 
