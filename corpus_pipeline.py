@@ -2,6 +2,8 @@
 
 Each stage works on all that its predecessor kept, and its decisions take effect.
 A decision is on a row, also where ids repeat or are null: rows have keys of their own.
+Null texts are empty, very long texts are taken whole, an empty table stays empty, and
+columns named like those of the stages are carried along as they are.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from textloom.llm import exact_dedup, jaccard_join, packing, quality, suffix_ded
 from textloom.llm.common import Workspace
 
 
+#: Least bytes of a passage that is cut where it repeats: 50 words of four letters and a space each.
+PASSAGE_BYTES = 250
+
+
 def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows with a key of their own, written so that all readers see the same keys, and the key's name."""
     row = "_row"
@@ -54,7 +60,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = suffix_dedup.suffix_dedup(spark, docs, keep_text=True, carry=others)
+    cut = suffix_dedup.suffix_dedup(spark, docs, length=PASSAGE_BYTES, keep_text=True, carry=others)
     text = F.col("kept_text")
     own = {"text": text, "n_chars": F.length(text).cast("long")}
     return cut.select(*[own.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
