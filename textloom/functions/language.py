@@ -19,6 +19,8 @@ NOISE = [
     (rf"{NWS}+@{NWS}+\.{NWS}+", " "),
     (r"[ \t]{2,}", " "),
 ]
+#: Without these, a replacement has nothing to find: a plain search spares most texts the pattern.
+HINTS = ["```", "`", "![", "[", "<", "://", "@", None]
 
 #: Scripts in the order in which they are looked up; the Latin one is counted apart and comes last.
 SCRIPTS = [s for s in SCRIPT_RANGES if s != "Latin"]
@@ -31,8 +33,16 @@ SCRIPT_OF = {code: script for code, _, script, _ in LANGUAGES}
 def strip_noise(c: Column) -> Column:
     """Prose only: code, images, link targets, tags, addresses and runs of blanks go."""
     c = F.coalesce(c, F.lit(""))
-    for pattern, to in NOISE:
-        c = F.regexp_replace(c, pattern, to)
+
+    def step(c: Column, pattern: str, to: str, hint: str | None) -> Column:
+        if hint is None:
+            return F.regexp_replace(c, pattern, to)
+        # behind a lambda the text so far is worked out once, though it is used twice
+        once = F.transform(F.array(c), lambda x: F.when(F.contains(x, F.lit(hint)), F.regexp_replace(x, pattern, to)).otherwise(x))
+        return F.get(once, F.lit(0))
+
+    for (pattern, to), hint in zip(NOISE, HINTS):
+        c = step(c, pattern, to, hint)
     return c
 
 
