@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textloom.functions import language, text as T
-from textloom.operators import cleanup, gates, loop
+from textloom.operators import cleanup, gates, loop, replies, report
 from textloom.sources import pages
 
 
@@ -63,3 +63,23 @@ def test_routes(spark):
     rows = [(1, "direct", "x", long), (1, "proxy", long, long), (2, "direct", long, "short"), (2, "mirror", long, long), (3, "direct", None, None)]
     got = pages.first_route(spark.createDataFrame(rows, "page_id long, route string, body string, content string")).collect()
     assert {r.page_id: (r.route, r.attempts) for r in got} == {1: ("proxy", 1), 2: ("mirror", 1)}
+
+
+def test_unmask_in_one_pass(spark):
+    rows = [("⪉0⪊ and ⪉1⪊⪉0⪊", ["a$1", "b"]), ("no token", []), ("⪉2⪊ ⪉00⪊ ⪉99999999999⪊", ["x"]), ("", [])]
+    got = spark.createDataFrame(rows, "m string, r array<string>").select(gates.unmask(F.col("m"), F.col("r")).alias("t")).collect()
+    assert [r.t for r in got] == ["a$1 and ba$1", "no token", "⪉2⪊ ⪉00⪊ ⪉99999999999⪊", ""]
+
+
+def test_reports_lose_no_row(spark):
+    rows = [(1, "Some plain words here.", "en"), (2, "Some plain words here.", None), (3, "यह एक वाक्य है।", None), (4, None, None), (5, "यह एक वाक्य है।", "hi"), (5, "ta", "ta")]
+    got = report.evaluate(spark.createDataFrame(rows, "doc_id long, text string, words string"), "text", "words").collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id, r.language, r.calibrated) for r in got) == [(1, "en", True), (2, "en", True), (3, "hi", True), (4, "en", True), (5, "hi", True), (5, "ta", False)]
+    assert all((r.verdict is None) == (not r.calibrated) for r in got)
+
+
+def test_scores_are_numbers(spark):
+    texts = ['{"p": 0.834}', '{"p": "0.83"}', '{"p": true}', '{"p": 1}', "{", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(replies.score_at(F.col("t"), "p").alias("s")).collect()
+    assert [r.s for r in got] == [83.4, None, None, 100.0, None, None]

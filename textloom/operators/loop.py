@@ -102,6 +102,12 @@ def leaderboard(passes: DataFrame, calibrated: str = "calibrated") -> DataFrame:
     return ranked.where("place = 1").drop("place")
 
 
+def finish(docs: DataFrame, passes: DataFrame) -> DataFrame:
+    """Each document's outcome: its best accepted pass, else the input text (n is null then).  docs: doc_id, text."""
+    best = leaderboard(passes).select("doc_id", "n", F.col("text").alias("_won"), "objective", "defect_count")
+    return docs.join(best, "doc_id", "left").select("doc_id", "n", F.coalesce("_won", "text").alias("output"), "objective", "defect_count")
+
+
 def translation_checks(df: DataFrame, source: str = "source", reply: str = "reply") -> DataFrame:
     """Checks of a translated reply: readable, no envelope, as many tokens as the masked source; the text unmasked."""
     kept = df.columns

@@ -70,13 +70,18 @@ def looks_like_envelope(c: Column) -> Column:
 
 def dig(c: Column, path: str) -> Column:
     """The value at a dotted path with array indices, as text."""
-    steps = [f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split(".")]
-    return F.get_json_object(c, "$" + "".join(steps))
+    return F.get_json_object(c, _steps(path))
+
+
+def _steps(path: str) -> str:
+    return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("."))
 
 
 def score_at(c: Column, path: str, percent: bool = False) -> Column:
-    """A detector's number at a path, in percent to one decimal; null where there is no number."""
-    n = F.expr("null").cast("double") if not path else dig(c, path).try_cast("double")
+    """A detector's number at a path, in percent to one decimal; null where there is no JSON number (a quoted one is none)."""
+    found = F.try_variant_get(F.try_parse_json(c), _steps(path), "variant")
+    number = F.schema_of_variant(found).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    n = F.when(number, F.try_variant_get(found, "$", "double"))
     return T.rounded(n if percent else n * 100, 1)
 
 

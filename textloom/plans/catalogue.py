@@ -472,6 +472,60 @@ def candidate_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loop.leaderboard(passes).select("doc_id", "n", "objective", "defect_count")
 
 
+@query(
+    "SELECT d.doc_id, coalesce(b.n, -1)::INT AS n, md5(CASE WHEN b.n IS NULL THEN coalesce(d.text, '') ELSE 'pass ' || b.n END) AS output_md5 FROM documents d LEFT JOIN (SELECT doc_id, n FROM (SELECT *, row_number() OVER "
+    f"(PARTITION BY doc_id ORDER BY CASE WHEN calibrated THEN objective ELSE defect_count END, defect_count, n) AS place FROM ({_PASSES}) WHERE accepted AND doc_id % 5 > 0) WHERE place = 1) b USING (doc_id)"
+)
+def loop_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes; documents with no accepted pass fall back to their text."""
+    docs = table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d, n = F.col("doc_id"), F.col("n")
+    passes = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("n")).withColumns(
+        {"accepted": ((d + n) % 3 != 0) & (d % 5 > 0), "objective": ((d * 7 + n * 13) % 50).cast("double"), "defect_count": ((d + n * n) % 4).cast("int"), "calibrated": d % 2 == 0, "text": F.concat(F.lit("pass "), n.cast("string"))}
+    )
+    return loop.finish(docs, passes).select("doc_id", F.coalesce("n", F.lit(-1)).alias("n"), F.md5("output").alias("output_md5"))
+
+
+_SCORES = ['{"a": [{"score": 0.%d}]}', '{"a": [{"score": "0.%d"}]}', '{"a": [{"other": 0.%d}]}', '{"a": [{"score": %d}]}', "no JSON %d"]
+
+
+@query(
+    f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN {O.rounded("('0.' || (doc_id % 90 + 10))::DOUBLE * 100", 1)} WHEN 3 THEN ((doc_id % 90 + 10) * 100)::DOUBLE END AS score, "
+    "CASE doc_id % 5 WHEN 0 THEN '0.' || (doc_id % 90 + 10) WHEN 1 THEN '0.' || (doc_id % 90 + 10) WHEN 3 THEN (doc_id % 90 + 10)::VARCHAR END AS dug FROM documents WHERE (doc_id % 90 + 10) % 10 > 0"
+)
+def reply_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers at a path of detector replies: numbers, quoted numbers, other keys, no JSON."""
+    n = F.pmod("doc_id", F.lit(90)) + 10
+    made = F.lit(None).cast("string")
+    for i, form in enumerate(_SCORES):
+        made = F.when(F.pmod("doc_id", F.lit(5)) == i, F.format_string(form, n)).otherwise(made)
+    rows = table(spark, sf_dir, "documents", "doc_id").where(n % 10 > 0)
+    return rows.select("doc_id", replies.score_at(made, "a.0.score").alias("score"), replies.dig(made, "a.0.score").alias("dug"))
+
+
+_STATUS = [401, 403, 429, 503, 529, 404, 0, 500]
+
+
+@query(
+    "SELECT doc_id, CASE WHEN s IN (401, 403) THEN 'rejected' WHEN s IN (429, 503, 529) THEN 'quota' WHEN s <> 0 THEN 'http' WHEN doc_id % 2 = 0 THEN 'blocked' ELSE 'unknown' END AS kind "
+    f"FROM (SELECT doc_id, {_STATUS}[doc_id % 8 + 1] AS s FROM documents)"
+)
+def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, _STATUS)), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", replies.failure_kind(status, F.pmod("doc_id", F.lit(2)) == 0).alias("kind"))
+
+
+@query(
+    f"SELECT doc_id, 'About ' || doc_id AS title, '2020-01-' || (doc_id % 28 + 1) AS published, md5({O.trim("coalesce(text, '')")}) AS content_md5 FROM documents"
+)
+def proxied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id").cast("string")
+    day = (F.pmod("doc_id", F.lit(28)) + 1).cast("string")
+    body = F.concat(F.lit("Title: About "), d, F.lit("\n\nPublished Time: 2020-01-"), day, F.lit("\n\nMarkdown Content:\n"), F.coalesce("text", F.lit("")))
+    got = web.proxied(body)
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", got["title"].alias("title"), got["published"].alias("published"), F.md5(got["content"]).alias("content_md5"))
+
+
 _ENTRIES = (
     "SELECT 'r' || (doc_id // 4) AS run_id, 'd' || (doc_id % 3) AS detector, CASE WHEN doc_id % 2 = 0 THEN 'before' ELSE 'after' END AS side, "
     "((doc_id * 37) % 1000)::DOUBLE / 10 AS score, doc_id AS moment FROM documents"
