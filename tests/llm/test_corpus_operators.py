@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, exact_dedup, jaccard_join, licenses, packing, quality, substring_dedup, suffix_dedup, warc
+from textloom.llm import ann, bpe, exact_dedup, jaccard_join, licenses, packing, quality, sketch, substring_dedup, suffix_dedup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, payload string, keep_id long, entry int"
 
@@ -221,6 +221,22 @@ def test_jaccard(spark, docs, rows, empty):
     assert jaccard_join.jaccard_join(spark, empty).count() == 0
 
 
+def test_clashing_set_keys_get_others(spark):
+    members = spark.createDataFrame([(1, 5, 10, 1), (2, 5, 10, 2), (3, 5, 11, 3), (4, 0, 10, 9)], "id long, n long, k1 long, k2 long")
+    alias = jaccard_join._aliases(members)
+    assert set(alias) == {(10, 1), (10, 2)} and len(set(alias.values())) == 2 and not set(alias.values()) & {10, 11}
+    assert jaccard_join._aliases(members.where("id > 2")) == {}
+
+
+def test_sketch_gaps():
+    rnd = np.random.default_rng(2)
+    for top, n in ((1 << 20, 5), (1 << 20, 1 << 18), (300, 299), (1 << 20, 1), (1, 1), (1 << 20, 0)):
+        cells = np.sort(rnd.choice(top, n, replace=False)).astype(np.uint32)
+        assert np.array_equal(sketch.unpack_gaps(sketch.pack_gaps(cells)), cells)
+    for cells in ([255], [0, 255, 510, 765], [65535 * 3, 65535 * 9]):
+        assert sketch.unpack_gaps(sketch.pack_gaps(np.array(cells, np.uint32))).tolist() == cells
+
+
 def test_signatures_miss_no_similar_pair():
     rnd = random.Random(9)
     bands = jaccard_join.Bands()
@@ -248,17 +264,17 @@ def test_signatures_miss_no_similar_pair():
         assert apart <= len(r ^ s)
 
 
-def brute_suffixes(rows):
+def brute_suffixes(rows, length=400):
     seen = Counter()
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
     for _, t in texts:
-        seen.update(t[j : j + 400] for j in range(len(t) - 399))
+        seen.update(t[j : j + length] for j in range(len(t) - length + 1))
     out = []
     for i, t in texts:
         gone = bytearray(len(t))
-        for j in range(len(t) - 399):
-            if seen[t[j : j + 400]] > 1:
-                gone[j : j + 400] = b"\1" * 400
+        for j in range(len(t) - length + 1):
+            if seen[t[j : j + length]] > 1:
+                gone[j : j + length] = b"\1" * length
         kept = bytes(b for b, g in zip(t, gone) if not g)
         spans = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
         out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
@@ -380,6 +396,41 @@ def test_quality_on_held_out_rows(spark):
     assert got[got.quality == 0].kept.mean() < 0.05 and got[got.toxic == 1].kept.mean() < 0.1
 
 
+def test_quality_posteriors_by_hand(spark, rows):
+    """Posteriors worked out again from the scored rows, null names and empty ones as sites of their own."""
+    rnd = random.Random(3)
+    texts = ["junk!! " * rnd.randint(20, 60) if i % 4 == 0 else " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(60)) for i in range(240)]
+    site = [(None, "x"), ("", "x"), ("h", None), ("h", ""), ("h", "y")]
+    table = [(i, t, *site[i % 5]) for i, t in enumerate(texts)] + [(None, texts[1], None, "x"), (7, texts[7], "h", "y"), (8, None, "", "x")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 8 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()).cache()
+    got = quality.classify(spark, numbered, labels, row_col="row").join(numbered.select("row", "source", "lang"), "row").collect()
+    assert len(got) == len(table)
+    good = {r.row: min(max((1 - r.p_poor) * (1 - r.p_toxic), 1e-6), 1 - 1e-6) for r in got}
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for r in got:
+        paths[r.source, r.lang].append(good[r.row])
+        hosts[r.source].append(good[r.row])
+    m = sum(good.values()) / len(good)
+
+    def strength(groups, centre):
+        n = sum(map(len, groups.values()))
+        spread = sum(len(v) * (sum(v) / len(v) - centre(k)) ** 2 for k, v in groups.items())
+        between = max(spread / n - m * (1 - m) * len(groups) / n, 1e-9)
+        return min(max(m * (1 - m) / between - 1, 1.0), 1e6)
+
+    hs = strength(hosts, lambda k: m)
+    ps = strength(paths, lambda k: sum(hosts[k[0]]) / len(hosts[k[0]]))
+    for r in got:
+        h, p, own = hosts[r.source], paths[r.source, r.lang], good[r.row]
+        host = (sum(h) - own + hs * m) / (len(h) - 1 + hs)
+        path = min(max((sum(p) - own + ps * host) / (len(p) - 1 + ps), 1e-6), 1 - 1e-6)
+        odds = np.log(own / (1 - own)) + np.log(path / (1 - path)) - np.log(m / (1 - m))
+        assert abs(r.host_posterior - host) < 1e-6 and abs(r.path_posterior - path) < 1e-6 and abs(r.posterior - 1 / (1 + np.exp(-odds))) < 1e-6
+        assert r.kept == (r.posterior >= quality.KEEP_FROM)
+
+
 def test_quality_without_labels(spark, docs, rows, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.classify(spark, docs, none)
@@ -502,13 +553,29 @@ def test_pipeline_stages(spark):
     rows = [(r.doc_id, r.text) for r in before.collect()]
     assert {r.doc_id for r in after.collect()} == {i for i, _, c in links(rows) if i == c}
     before, after = seen["suffix_dedup"]
-    want = {w[0]: w[2] for w in brute_suffixes([(r.doc_id, r.text) for r in before.collect()])}
+    want = {w[0]: w[2] for w in brute_suffixes([(r.doc_id, r.text) for r in before.collect()], corpus_pipeline.PASSAGE_BYTES)}
     texts = {r.doc_id: r.text for r in before.collect()}
     assert all(len(texts[r.doc_id].encode()) - len(r.text.encode()) - want[r.doc_id] in range(0, 8) for r in after.collect())
     tokens = seen["packing"][1].groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("d"))
     assert tokens.where("n <> d").count() == 0 and tokens.count() == after.count()
 
 
+def test_pipeline_cuts_passages_of_over_fifty_words(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    text = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(3, 8))) for _ in range(n))
+    passage, short = text(51), text(20)
+    clean = [(i, text(200)) for i in range(5)]
+    hit = [(10 + i, f"{text(80)}\n{passage}\n{text(80)}") for i in range(3)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in clean + hit + [(20, f"{text(60)} {short}"), (21, f"{short} {text(60)}")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r for r in corpus_pipeline.cut_passages(spark, docs, "").collect()}
+    for i, t, *_ in rows:
+        assert (passage not in got[i].text and len(got[i].text) >= len(t) - len(passage) - 4) if 10 <= i < 13 else got[i].text == t
+        assert got[i].n_chars == len(got[i].text)
+
+
 def test_pipeline_decides_on_rows(spark, tmp_path):
     import corpus_pipeline
 
