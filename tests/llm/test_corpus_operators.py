@@ -1,5 +1,6 @@
 """Corpus operators against brute force, over awkward rows: nulls, empty and long texts, ties, repeated ids, clashing columns."""
 
+import bisect
 import hashlib
 import io
 import random
@@ -98,10 +99,20 @@ def encoder():
 
 def test_bpe(spark, docs, rows, empty, encoder):
     got = bpe.digest(spark, docs).collect()
+
+    def listed(numbers):
+        return hashlib.sha256(" ".join(map(str, numbers)).encode()).hexdigest()
+
     want = []
     for i, t, *_ in rows:
         ids = encoder.encode_ordinary(t or "")
-        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode_bytes(ids)).hexdigest()))
+        raw, at, chars, place = (t or "").encode(), [], [], 0
+        starts = [k for k, b in enumerate(raw) if b & 0xC0 != 0x80]
+        for token in ids:
+            at.append(place)
+            chars.append(bisect.bisect_right(starts, place) - 1)
+            place += len(encoder.decode_single_token_bytes(token))
+        want.append((i, len(ids), listed(ids), hashlib.sha256(encoder.decode_bytes(ids)).hexdigest(), listed(at), listed(chars)))
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert bpe.digest(spark, empty).count() == 0
 
@@ -129,6 +140,9 @@ def test_bpe_offsets_and_split_characters(spark):
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
     back = bpe.decode(spark, bpe.encode(spark, df)).collect()
     assert {r.doc_id: bytes(r.decoded).decode() for r in back} == {1: text, 2: ""}
+    gaps = spark.createDataFrame([(1, [32, None, 33], "a"), (2, None, "b"), (None, [], None)], "doc_id long, ids array<int>, `carried` string")
+    back = bpe.decode(spark, gaps, carry=["carried"]).collect()
+    assert sorted(((r.doc_id, bytes(r.decoded), r.carried) for r in back), key=repr) == [(1, own.decode([32, 33]), "a"), (2, b"", "b"), (None, b"", None)]
 
 
 def test_packing(spark, docs, rows, empty):

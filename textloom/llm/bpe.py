@@ -14,19 +14,21 @@ library whole.
 Null texts count as empty and give no ids.  Lone surrogates can't occur in
 Arrow strings.  Very long texts are encoded whole.  Each row is encoded by itself, so
 repeated rows and ids each get a row, and an empty table gives none.  Of the input's
-columns only id and text are read, so others can't clash.
+columns only id and text are read, so others can't clash.  Where a character's bytes
+fall to several ids, each of these starts at that character.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import bounded_batches, clean, rows_of, to_batch
 
@@ -78,7 +80,6 @@ class ByteBPE:
             added[i].encode() if i in added else bytes(back[c] for c in self.lib.id_to_token(i) or "") for i in range(size)
         ]
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.decimal = [str(i) for i in range(size)]
         self.seen: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.newline = self._merge("\n")
@@ -158,6 +159,8 @@ class ByteBPE:
 
 def character_offsets(text: str, byte_offsets: np.ndarray) -> np.ndarray:
     """Character positions for byte positions; a split character counts where it starts."""
+    if text.isascii():
+        return np.asarray(byte_offsets)
     raw = np.frombuffer(text.encode(), np.uint8)
     starts = np.concatenate((np.cumsum((raw & 0xC0) != 0x80), [len(text)]))
     at = np.asarray(byte_offsets)
@@ -176,6 +179,13 @@ def decode_stream(parts: Iterator[bytes]) -> Iterator[str]:
     yield decoder.decode(b"", True)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """One Arrow list of 32-bit integers for each array."""
+    edges = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.astype(np.int32)))
+
+
 _TOKENS = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("byte_starts", pa.list_(pa.int32())), ("char_starts", pa.list_(pa.int32()))])
 
 
@@ -190,46 +200,52 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
             ids = bpe.encode_batch(texts)
             offsets = [bpe.byte_offsets(i)[:-1] for i in ids]
             chars = [character_offsets(t or "", o) for t, o in zip(texts, offsets)]
-            yield to_batch(_TOKENS, [keys, [i.astype(np.int32) for i in ids], offsets, chars])
+            yield to_batch(_TOKENS, [keys, _lists(ids), _lists(offsets), _lists(chars)])
 
     bounded_batches(spark)
     return clean(docs, id=id_col, text=text_col).mapInArrow(run, "id long, ids array<int>, byte_starts array<int>, char_starts array<int>").withColumnRenamed("id", id_col)
 
 
-def decode(spark: SparkSession, tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
-    """One row per input row: id and the decoded bytes; null ids give empty bytes."""
+def decode(spark: SparkSession, tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: id, the decoded bytes, and the columns named in ``carry``.
+
+    Null ids, whole lists or single ones, give no bytes.
+    """
     path = tokenizer or default_path("byte_bpe_50k.json")
-    schema = pa.schema([("id", pa.int64()), ("decoded", pa.binary())])
+    carried = F.struct(F.lit(None).cast("boolean").alias("_"), *[F.col(f"`{c}`") for c in carry])
+    rows = tokens.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{ids_col}`").alias("ids"), carried.alias("carried"))
+    schema = StructType([rows.schema["id"], StructField("decoded", BinaryType()), rows.schema["carried"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE.get(path)
         for batch in batches:
-            keys, ids = rows_of(batch, "id", "ids")
-            yield to_batch(schema, [keys, [bpe.decode(i or []) for i in ids]])
-
-    return clean(tokens, id=id_col, ids=ids_col).mapInArrow(run, "id long, decoded binary").withColumnRenamed("id", id_col)
+            column = batch.column(batch.schema.get_field_index("ids"))
+            decoded = [bpe.decode(ids.values.drop_null().to_numpy()) if ids.is_valid else b"" for ids in column]
+            own = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "carried")]
+            yield pa.RecordBatch.from_arrays([own[0], pa.array(decoded, pa.binary()), own[1]], names=["id", "decoded", "carried"])
 
-
-_DIGEST = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    found = rows.mapInArrow(run, schema)
+    return found.select(F.col("id").alias(id_col), "decoded", *[F.col(f"carried.`{c}`").alias(c) for c in carry])
 
 
 def digest(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Encode and decode in one pass over Arrow batches, keeping digests: no shuffle, nothing written."""
-    path = tokenizer or default_path("byte_bpe_50k.json")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE.get(path)
-        sha = hashlib.sha256
-        decimal = bpe.decimal
-        for batch in batches:
-            keys, texts = rows_of(batch, "id", "text")
-            n, a, b = [], [], []
-            for ids in bpe.encode_batch(texts):
-                plain = ids.tolist()
-                n.append(len(plain))
-                a.append(sha(" ".join([decimal[i] for i in plain]).encode()).hexdigest())
-                b.append(sha(bpe.decode(plain)).hexdigest())
-            yield to_batch(_DIGEST, [keys, n, a, b])
-
-    bounded_batches(spark)
-    return clean(docs, id=id_col, text=text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    """Digests of what ``encode`` and ``decode`` give: ids, decoded bytes, and byte and character offsets.
+
+    Both work on the same task's batches: no shuffle, nothing written.
+    """
+
+    def listed(column: str):
+        return F.sha2(F.concat_ws(" ", F.col(column).cast("array<string>")), 256)
+
+    encoded = encode(spark, docs, id_col, text_col, tokenizer)
+    digests = {
+        "n_tokens": F.size("ids").cast("long"),
+        "ids_sha256": listed("ids"),
+        "byte_starts_sha256": listed("byte_starts"),
+        "char_starts_sha256": listed("char_starts"),
+    }
+    tokens = encoded.select(F.col(f"`{id_col}`").alias("id"), "ids", *[d.alias(c) for c, d in digests.items()])
+    found = decode(spark, tokens, "id", "ids", tokenizer, carry=list(digests))
+    return found.select(
+        F.col("id").alias(id_col), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "byte_starts_sha256", "char_starts_sha256"
+    )
