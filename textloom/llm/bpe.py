@@ -20,15 +20,16 @@ fall to several ids, each of these starts at that character.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import bounded_batches, clean, rows_of, to_batch
 
@@ -189,63 +190,70 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 _TOKENS = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("byte_starts", pa.list_(pa.int32())), ("char_starts", pa.list_(pa.int32()))])
 
 
+def _encoded(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bpe = ByteBPE.get(path)
+    for batch in batches:
+        keys, texts = rows_of(batch, "id", "text")
+        ids = bpe.encode_batch(texts)
+        offsets = [bpe.byte_offsets(i)[:-1] for i in ids]
+        chars = [character_offsets(t or "", o) for t, o in zip(texts, offsets)]
+        yield to_batch(_TOKENS, [keys, _lists(ids), _lists(offsets), _lists(chars)])
+
+
+def _decoded(path: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with the decoded bytes in the place of the ids."""
+    bpe = ByteBPE.get(path)
+    for batch in batches:
+        at = batch.schema.get_field_index("ids")
+        decoded = [bpe.decode(ids.values.drop_null().to_numpy()) if ids.is_valid else b"" for ids in batch.column(at)]
+        yield batch.set_column(at, "decoded", pa.array(decoded, pa.binary()))
+
+
 def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """One row per input row: id, ids, and where each id starts in bytes and characters."""
     path = tokenizer or default_path("byte_bpe_50k.json")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE.get(path)
-        for batch in batches:
-            keys, texts = rows_of(batch, "id", "text")
-            ids = bpe.encode_batch(texts)
-            offsets = [bpe.byte_offsets(i)[:-1] for i in ids]
-            chars = [character_offsets(t or "", o) for t, o in zip(texts, offsets)]
-            yield to_batch(_TOKENS, [keys, _lists(ids), _lists(offsets), _lists(chars)])
-
     bounded_batches(spark)
-    return clean(docs, id=id_col, text=text_col).mapInArrow(run, "id long, ids array<int>, byte_starts array<int>, char_starts array<int>").withColumnRenamed("id", id_col)
-
+    rows = clean(docs, id=id_col, text=text_col)
+    return rows.mapInArrow(lambda b: _encoded(path, b), "id long, ids array<int>, byte_starts array<int>, char_starts array<int>").withColumnRenamed("id", id_col)
 
-def decode(spark: SparkSession, tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per input row: id, the decoded bytes, and the columns named in ``carry``.
 
-    Null ids, whole lists or single ones, give no bytes.
-    """
+def decode(spark: SparkSession, tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
+    """One row per input row: id and the decoded bytes.  Null ids, whole lists or single ones, give no bytes."""
     path = tokenizer or default_path("byte_bpe_50k.json")
-    carried = F.struct(F.lit(None).cast("boolean").alias("_"), *[F.col(f"`{c}`") for c in carry])
-    rows = tokens.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{ids_col}`").alias("ids"), carried.alias("carried"))
-    schema = StructType([rows.schema["id"], StructField("decoded", BinaryType()), rows.schema["carried"]])
+    rows = clean(tokens, id=id_col, ids=ids_col).withColumn("id", F.col("id").cast("long"))
+    return rows.mapInArrow(lambda b: _decoded(path, b), "id long, decoded binary").withColumnRenamed("id", id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE.get(path)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("ids"))
-            decoded = [bpe.decode(ids.values.drop_null().to_numpy()) if ids.is_valid else b"" for ids in column]
-            own = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "carried")]
-            yield pa.RecordBatch.from_arrays([own[0], pa.array(decoded, pa.binary()), own[1]], names=["id", "decoded", "carried"])
 
-    found = rows.mapInArrow(run, schema)
-    return found.select(F.col("id").alias(id_col), "decoded", *[F.col(f"carried.`{c}`").alias(c) for c in carry])
+def _listed(column: pa.ListArray) -> list[str]:
+    """Digests of the numbers of each list in decimal, joined by one space."""
+    words = pa.ListArray.from_arrays(column.offsets, column.values.cast(pa.string()))
+    joined = pa.compute.binary_join(words, " ").cast(pa.binary())
+    return [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined]
 
 
 def digest(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Digests of what ``encode`` and ``decode`` give: ids, decoded bytes, and byte and character offsets.
 
-    Both work on the same task's batches: no shuffle, nothing written.
+    A batch is encoded, decoded from its ids and digested in one worker: no shuffle, nothing written.
     """
+    path = tokenizer or default_path("byte_bpe_50k.json")
+    fields = ("ids", "byte_starts", "char_starts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens in _encoded(path, batches):
+            lists = {c: tokens.column(tokens.schema.get_field_index(c)) for c in fields}
+            own = {f"{c}_sha256": _listed(v) for c, v in lists.items()}
+            own["n_tokens"] = lists["ids"].value_lengths().cast(pa.int64())
+            for back in _decoded(path, [tokens.select(["id", "ids"])]):
+                own["decoded_sha256"] = [hashlib.sha256(x.as_buffer()).hexdigest() for x in back.column(1)]
+            yield to_batch(_DIGEST, [tokens.column(0), *[own[c] for c in _DIGEST.names[1:]]])
+
+    bounded_batches(spark)
+    rows = clean(docs, id=id_col, text=text_col)
+    columns = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, byte_starts_sha256 string, char_starts_sha256 string"
+    return rows.mapInArrow(run, columns).withColumnRenamed("id", id_col)
+
 
-    def listed(column: str):
-        return F.sha2(F.concat_ws(" ", F.col(column).cast("array<string>")), 256)
-
-    encoded = encode(spark, docs, id_col, text_col, tokenizer)
-    digests = {
-        "n_tokens": F.size("ids").cast("long"),
-        "ids_sha256": listed("ids"),
-        "byte_starts_sha256": listed("byte_starts"),
-        "char_starts_sha256": listed("char_starts"),
-    }
-    tokens = encoded.select(F.col(f"`{id_col}`").alias("id"), "ids", *[d.alias(c) for c, d in digests.items()])
-    found = decode(spark, tokens, "id", "ids", tokenizer, carry=list(digests))
-    return found.select(
-        F.col("id").alias(id_col), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "byte_starts_sha256", "char_starts_sha256"
-    )
+_DIGEST = pa.schema(
+    [("id", pa.int64()), ("n_tokens", pa.int64())] + [(f"{c}_sha256", pa.string()) for c in ("ids", "decoded", "byte_starts", "char_starts")]
+)
