@@ -55,6 +55,8 @@ BLOCK = 3 << 20
 LOCAL = 24 << 20
 #: Buckets in which a block's suffixes are sorted, one at a time.
 SUFFIX_BUCKETS = 4
+#: Digests of windows that a block hands on at a time.
+DIGESTS = 1 << 16
 #: Corpus bytes for each bucket of documents.
 PER_BUCKET = 8 << 20
 
@@ -242,12 +244,16 @@ def _flag_rows(spans: dict[tuple[int, int], list[tuple[int, int]]], buckets: int
     return out
 
 
-def _digest_rows(found: list[tuple[int, int, int, int, int, bool]], buckets: int) -> list[tuple]:
-    """Window digests with (id, text hash, start, known to be repeated), packed by bucket of digest."""
+def _digest_rows(found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], bodies: list[bytes], buckets: int, length: int) -> list[tuple]:
+    """Digests of windows, each segment's given as (id, text hash, starts in the text, starts in the body, known to be repeated), packed by bucket of digest."""
     if not found:
         return []
-    d1, d2, ids, h, p = (np.array(x, np.int64) for x in list(zip(*found))[:5])
-    known = np.array([f[5] for f in found], np.uint8)
+    sizes = [len(f[2]) for f in found]
+    ids, h = (np.repeat(np.array(x, np.int64), sizes) for x in list(zip(*found))[:2])
+    p, known = np.concatenate([f[2] for f in found]), np.concatenate([f[4] for f in found])
+    views = [(memoryview(body), f[3].tolist()) for body, f in zip(bodies, found)]
+    digests = b"".join(xxhash.xxh3_128_digest(view[j : j + length]) for view, at in views for j in at)
+    d1, d2 = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2).T
     to = d1 % buckets
     order = np.argsort(to, kind="stable")
     edges = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
@@ -384,11 +390,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
             use = [r for r in rows if r[3] in open_ or (lone[r[3]][0] > 1 and lone[r[3]][1])]
             held, size = [], 0
             if not use:
-                return []
+                return
             spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            out = []
-            told: set[int] = set()
-            for r, found in zip(use, repeated_suffixes([r[0] for r in use], [r[7] for r in use], length)):
+            out, bodies, waiting = [], [], 0
+            classes = repeated_suffixes([r[0] for r in use], [r[7] for r in use], length)
+            told = np.zeros(max(int(found.max(initial=0)) for found in classes) + 1, bool)
+            for r, found in zip(use, classes):
                 body, _, _, anchor, i, h, p, n, many = r
                 if not many:
                     hits = np.flatnonzero(found >= 0)
@@ -397,31 +404,37 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
                         for a, b in zip(edges, [*edges[1:], len(hits)]):
                             spans[i, h].append((p + int(hits[a]), p + int(hits[b - 1]) + length))
                 if anchor in open_:
-                    for j, c in enumerate(found.tolist()):
-                        known = many or c >= 0
-                        if c >= 0:
-                            if c in told:
-                                continue
-                            told.add(c)
-                        out.append((*_halves(xxhash.xxh3_128_digest(body[j : j + length])), i, h, p + j, known))
-            return _digest_rows(out, buckets) + _flag_rows(spans, buckets)
+                    # one window of each class stands for the block's
+                    first = np.zeros(len(found), bool)
+                    first[np.unique(found, return_index=True)[1]] = True
+                    first &= ~told[found]
+                    first[found < 0] = True
+                    told[found[found >= 0]] = True
+                    j = np.flatnonzero(first)
+                    out.append((i, h, p + j, j, (found[j] >= 0) | many))
+                    bodies.append(body)
+                    waiting += len(j)
+                    if waiting > DIGESTS:
+                        yield from _emit(_digest_rows(out, bodies, buckets, length))
+                        out, bodies, waiting = [], [], 0
+            yield from _emit(_digest_rows(out, bodies, buckets, length) + _flag_rows(spans, buckets))
 
         last = None
         for batch in batches:
             for row in zip(*rows_of(batch, *cols)):
                 if size > block and held:
                     if row[3] != last:
-                        yield from _emit(close(began, False))
+                        yield from close(began, False)
                         began = False
                     elif held[0][3] == last or size > 2 * block:
                         # an anchor over a block's size: the next block begins with it, too
-                        yield from _emit(close(True if held[0][3] == last else began, True))
+                        yield from close(True if held[0][3] == last else began, True)
                         began = True
                 held.append(row)
                 size += len(row[0])
                 last = row[3]
         if held:
-            yield from _emit(close(began, True))
+            yield from close(began, True)
 
     ranged = distinct.where(f"kind = {_SEGMENT}").select(*cols).repartitionByRange(tasks, "anchor", "d1").sortWithinPartitions("anchor", "d1", "d2")
     solved = ws.save(ranged.mapInArrow(blocks, _ROW_DDL), "solved", ["kind"])
