@@ -534,17 +534,41 @@ def test_nearest(spark):
     assert ann.nearest(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_nearest_recall_on_given_vectors(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = df.toPandas()
-    ids, x = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), float)
-    found = ann.nearest(spark, df).toPandas().groupby("query_id").vec_id.agg(set)
+def _recall(found, ids, x):
+    found = found.toPandas().groupby("query_id").vec_id.agg(set)
     hits = 0
     for q in found.index:
         score = x @ x[np.flatnonzero(ids == q)[0]]
         score[ids == q] = -np.inf
         hits += len(found[q] & set(ids[np.lexsort((ids, -score))[:20]]))
-    assert hits / (20 * len(found)) >= 0.9
+    return hits / (20 * len(found))
+
+
+def test_nearest_recall_on_given_vectors(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.toPandas()
+    ids, x = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), float)
+    assert _recall(ann.nearest(spark, df), ids, x) >= 0.9
+    # several blocks, few pivots, a bounded part of each block scored
+    monkeypatch.setattr(ann, "BLOCK", 700)
+    monkeypatch.setattr(ann, "QUERIES", 30)
+    got = ann.nearest(spark, df, pivots=300, nearest_pivots=24, rerank=10).cache()
+    assert _recall(got, ids, x) >= 0.9
+    assert got.groupBy("query_id").agg(F.count("*").alias("n")).where("n <> 20").count() == 0
+
+
+def test_footrule_of_inverted_files():
+    rnd = np.random.default_rng(3)
+    perms = np.array([rnd.permutation(40)[:6] for _ in range(200)])
+    files = ann.InvertedFiles.build(perms, 40)
+    for perm in perms[:20]:
+        want = {}
+        for row, other in enumerate(perms.tolist()):
+            if set(other) & set(perm.tolist()):
+                places = [(list(p).index(z) if z in p else 6) for z in set(other) | set(perm.tolist()) for p in (other, perm.tolist())]
+                want[row] = sum(abs(a - b) for a, b in zip(places[::2], places[1::2]))
+        met, far = files.footrule(perm)
+        assert dict(zip(met.tolist(), far.tolist())) == want
 
 
 def test_pipeline_stages(spark):

@@ -1,19 +1,24 @@
 """Approximate nearest neighbours by a permutation index.
 
-1. Pivots are a bounded sample of distinct vectors, ``PIVOTS`` of them at most.
+1. Pivots are a bounded sample of distinct vectors, ``PIVOTS`` of them at most: those with
+   the least hashes.
 2. A vector is represented by its ``NEAREST`` pivots in order of distance, and
-   posted, with its ranks, in the inverted file of each.
-3. A query reads the inverted files of its own nearest pivots.  Candidates are
-   ranked by footrule distance: the sum of rank differences, a pivot that either
-   lacks counting as rank ``NEAREST``.
+   posted, with its ranks, in the inverted file of each.  The inverted files of a
+   block of vectors are built once and stored as one row, with the vectors.
+3. A query reads the inverted files of its own nearest pivots, some tens out of
+   thousands; vectors in none of them are never met.  Candidates are ranked by
+   footrule distance: the sum of rank differences, a pivot that either lacks
+   counting as rank ``NEAREST``.
 4. The best candidates of each block of vectors are scored exactly, in double
-   precision, and the best of all blocks are returned.
+   precision, and the best of all blocks are returned.  A block in which a query
+   meets no more than a result's vectors is filled up, so no result is short.
 
 Nearness is the largest inner product.  Vectors are first lengthened by one
 component to the greatest norm of all, after which the nearest by angle is that of
 the largest inner product.
 
-Equal vectors are one: the index holds a vector's least ids, as many as a result
+A block's task reads its index row once and takes the queries as they come, so its memory
+is bounded by the block.  Equal vectors are one: the index holds a vector's least ids, as many as a result
 can use, so a vector that a third of all rows share stays one entry.  Blocks are
 dealt by vector, and each gives a bounded number of results per query, so no
 inverted file is ever gathered in one task.
@@ -36,15 +41,20 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, clean, parallelism, spread_join, to_batch
 
-PIVOTS = 256
-NEAREST = 96
+PIVOTS = 4096
+NEAREST = 48
 #: Of the candidates of one block, so many times k are scored exactly.
-RERANK = 40
-#: Vectors of a block, queries taken at a time.
+RERANK = 60
+#: Vectors of a block and their bytes, at most; queries that a task takes; vectors compared with all pivots at a time.
 BLOCK = 8192
+BLOCK_BYTES = 32 << 20
 QUERIES = 2048
+CHUNK = 512
 K = 20
 
+_INDEX = pa.schema([("block", pa.int32()), ("vectors", pa.binary()), ("ids", pa.binary()), ("edges", pa.binary()), ("rows", pa.binary()), ("ranks", pa.binary()), ("starts", pa.binary())])
+_INDEX_DDL = "block int, vectors binary, ids binary, edges binary, rows binary, ranks binary, starts binary"
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -59,35 +69,40 @@ def _lengthen(x: np.ndarray, most: float) -> np.ndarray:
 
 def permutations(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """Numbers of the nearest pivots of each row, nearest first."""
-    near = x @ pivots.T
-    k = min(nearest, near.shape[1])
-    part = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    order = np.argsort(-np.take_along_axis(near, part, 1), axis=1, kind="stable")
-    return np.take_along_axis(part, order, 1)
+    k = min(nearest, len(pivots))
+    out = np.empty((len(x), k), np.int64)
+    for at in range(0, len(x), CHUNK):
+        far = -(x[at : at + CHUNK] @ pivots.T)
+        part = np.argpartition(far, k - 1, axis=1)[:, :k]
+        order = np.argsort(np.take_along_axis(far, part, 1), axis=1, kind="stable")
+        out[at : at + CHUNK] = np.take_along_axis(part, order, 1)
+    return out
 
 
 class InvertedFiles:
     """Postings of a block of vectors: for each pivot, the vectors near it and the pivot's rank there."""
 
-    def __init__(self, perms: np.ndarray, pivots: int):
-        n, self.k = perms.shape
+    def __init__(self, n: int, k: int, edges: np.ndarray, rows: np.ndarray, ranks: np.ndarray):
+        self.n, self.k, self.edges, self.rows, self.ranks = n, k, edges, rows, ranks
+
+    @classmethod
+    def build(cls, perms: np.ndarray, pivots: int) -> InvertedFiles:
+        n, k = perms.shape
         flat = perms.ravel()
         order = np.argsort(flat, kind="stable")
-        self.rows = order // self.k
-        self.ranks = order % self.k
-        self.edges = np.searchsorted(flat[order], np.arange(pivots + 1))
-        self.n = n
-
-    def footrule(self, perm: np.ndarray) -> np.ndarray:
-        """Distance of each vector of the block from one query's permutation."""
-        worst = self.k
-        # as if no pivot were shared: all ranks of both sides differ from the worst
-        total = np.full(self.n, worst * (worst + 1), np.int64)
-        for rank, pivot in enumerate(perm.tolist()):
-            lo, hi = self.edges[pivot], self.edges[pivot + 1]
-            theirs = self.ranks[lo:hi]
-            total[self.rows[lo:hi]] -= (worst - rank) + (worst - theirs) - np.abs(rank - theirs)
-        return total
+        edges = np.searchsorted(flat[order], np.arange(pivots + 1))
+        return cls(n, k, edges.astype(np.int64), (order // k).astype(np.int32), (order % k).astype(np.int32))
+
+    def footrule(self, perm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors that share a pivot with one query's permutation, and their distances from it."""
+        lists = [slice(lo, hi) for lo, hi in zip(self.edges[perm].tolist(), self.edges[perm + 1].tolist())]
+        rows = np.concatenate([self.rows[x] for x in lists])
+        theirs = np.concatenate([self.ranks[x] for x in lists])
+        mine = np.repeat(np.arange(len(perm)), [x.stop - x.start for x in lists])
+        # as if no pivot were shared, all ranks of both sides would differ from the worst
+        gain = np.bincount(rows, 2 * self.k - mine - theirs - np.abs(mine - theirs), self.n)
+        met = np.flatnonzero(gain)
+        return met, self.k * (self.k + 1) - gain[met].astype(np.int64)
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, queries=None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, pivots: int = PIVOTS, nearest_pivots: int = NEAREST, rerank: int = RERANK) -> DataFrame:
@@ -118,74 +133,108 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries=None, id_col: str =
 
     norms = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     most = float(entries.agg(F.max(F.sqrt(norms)).alias("m")).first().m or 1.0)
-    # a fixed sample, bounded by the number of pivots: least hashes of the vectors
-    sample = entries.select("v").orderBy(F.xxhash64("v")).limit(pivots).collect()
+    # a fixed sample, bounded by the number of pivots: least hashes of the vectors, sought among about twice as many
+    total = entries.count()
+    part = F.pmod(F.xxhash64("v"), F.lit(1 << 32)) < F.lit(int(min(1.0, 2 * pivots / max(1, total)) * (1 << 32)))
+    sample = entries.select("v").where(part).orderBy(F.pmod(F.xxhash64("v"), F.lit(1 << 32)), "v").limit(pivots).collect()
     centres = _lengthen(np.array([r.v for r in sample], np.float64).reshape(-1, dim), most)
+    shared = spark.sparkContext.broadcast(centres)  # at most PIVOTS vectors
     wanted = rows.where(condition).select(F.col("id").alias("q"), "v")
     wanted = ws.save(wanted, "queries")
 
-    blocks = entries.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(max(1, entries.count() // BLOCK + 1))).cast("int"))
-    blocks = ws.save(blocks.repartition(parallelism(spark), "block").sortWithinPartitions("block"), "blocks")
-    n_blocks = max(1, blocks.select("block").distinct().count())
-    # queries are read in groups, and each group meets each block in one task
-    groups = max(1, wanted.count() // QUERIES + 1)
+    n_blocks = total // max(1, min(BLOCK, BLOCK_BYTES // (8 * dim))) + 1
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close():
+            x = np.concatenate([_matrix(b.column(b.schema.get_field_index("v")), dim) for b in held])
+            ids = pa.concat_arrays([b.column(b.schema.get_field_index("ids")) for b in held])
+            files = InvertedFiles.build(permutations(_lengthen(x, most), shared.value, nearest_pivots), len(shared.value))
+            starts = np.cumsum([0, *ids.value_lengths().to_pylist()], dtype=np.int64)
+            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            yield to_batch(_INDEX, [[now], *([a.tobytes()] for a in (x, flat, files.edges, files.rows, files.ranks, starts))])
+
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index("block")).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+            for a, b in zip(edges, edges[1:]):
+                if keys[a] != now:
+                    if held:
+                        yield from close()
+                    now, held = int(keys[a]), []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from close()
+
+    blocks = entries.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(n_blocks)).cast("int"))
+    blocks = blocks.repartition(parallelism(spark), "block").sortWithinPartitions("block")
+    index = ws.save(blocks.select("block", "v", "ids").mapInArrow(build, _INDEX_DDL), "index")
+    # a block's queries are dealt over some tasks, each of which gets the block's index row
+    groups = max(1, min(wanted.count() // QUERIES + 1, parallelism(spark) // n_blocks + 1))
     asked = wanted.withColumn("g", F.pmod(F.xxhash64("q", "v"), F.lit(groups)).cast("int"))
     schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    shared = spark.sparkContext.broadcast(centres)  # at most PIVOTS vectors
+    parts = [f.name for f in _INDEX][1:]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = shared.value
-        now, vecs, qs = None, [], []
+        width = min(nearest_pivots, len(pivot))
+        now = None
+        top = rerank * k
 
-        def close():
-            if not vecs or not qs:
-                return
-            ids = [i for b in vecs for i in b.column(b.schema.get_field_index("ids")).to_pylist()]
-            x = np.concatenate([_matrix(b.column(b.schema.get_field_index("v")), dim) for b in vecs])
-            q_ids = np.concatenate([b.column(b.schema.get_field_index("q")).to_numpy(zero_copy_only=False) for b in qs]).astype(np.int64)
-            q = np.concatenate([_matrix(b.column(b.schema.get_field_index("v")), dim) for b in qs])
-            files = InvertedFiles(permutations(_lengthen(x, most), pivot, nearest_pivots), len(pivot))
+        def answer(part: pa.RecordBatch) -> pa.RecordBatch:
+            q_ids = part.column(part.schema.get_field_index("q")).to_numpy(zero_copy_only=False).astype(np.int64)
+            q = _matrix(part.column(part.schema.get_field_index("v")), dim)
             q_perm = permutations(np.concatenate((q, np.zeros((len(q), 1))), 1), pivot, nearest_pivots)
-            top = rerank * k
             out_q, out_v, out_s = [], [], []
             for i in range(len(q)):
-                far = files.footrule(q_perm[i])
-                near = np.argpartition(far, top)[:top] if len(far) > top else np.arange(len(far))
+                if len(x) <= top:
+                    near = np.arange(len(x))
+                else:
+                    near, far = files.footrule(q_perm[i])
+                    if len(near) > top:
+                        near = near[np.argpartition(far, top)[:top]]
+                    elif len(near) <= k:
+                        near = np.union1d(near, np.arange(2 * k + 1))
                 score = x[near] @ q[i]
                 # equal vectors have several ids; take enough of the best to be sure of k ids
                 best = np.lexsort((near, -score))
                 if len(best) > k + 1:
                     edge = score[best[k]]
                     best = best[score[best] >= edge]
-                found = [(-score[j], v) for j in best.tolist() for v in ids[near[j]] if v != q_ids[i]]
+                found = [(-score[j], v) for j in best.tolist() for v in ids[starts[near[j]] : starts[near[j] + 1]].tolist() if v != q_ids[i]]
                 found.sort()
                 for s, v in found[:k]:
                     out_q.append(int(q_ids[i]))
                     out_v.append(v)
                     out_s.append(-s)
-            yield to_batch(schema, [out_q, out_v, out_s])
+            return to_batch(schema, [out_q, out_v, out_s])
 
         for batch in batches:
             keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("block", "g")], 1)
-            edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1), [True])))
+            is_index = batch.column(batch.schema.get_field_index("q")).is_null().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1) | is_index[1:] | is_index[:-1], [True])))
             for a, b in zip(edges, edges[1:]):
                 part = batch.slice(a, b - a)
-                if (key := tuple(keys[a])) != now:
-                    yield from close()
-                    now, vecs, qs = key, [], []
-                is_query = part.column(part.schema.get_field_index("q")).is_valid()
-                if (got := part.filter(is_query)).num_rows:
-                    qs.append(got)
-                if (got := part.filter(pa.compute.invert(is_query))).num_rows:
-                    vecs.append(got)
-        yield from close()
+                if is_index[a]:
+                    now = tuple(keys[a])
+                    raw, ids, post_edges, post_rows, post_ranks, starts = (part.column(part.schema.get_field_index(c))[0].as_buffer() for c in parts)
+                    x = np.frombuffer(raw, np.float64).reshape(-1, dim)
+                    ids, starts = np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int64)
+                    files = InvertedFiles(len(x), width, np.frombuffer(post_edges, np.int64), np.frombuffer(post_rows, np.int32), np.frombuffer(post_ranks, np.int32))
+                elif tuple(keys[a]) == now:  # else a block without vectors
+                    for at in range(0, part.num_rows, CHUNK):
+                        yield answer(part.slice(at, CHUNK))
 
     every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = blocks.select("block", every_group.alias("g"), F.lit(None).cast("long").alias("q"), "v", "ids")
-    right = asked.select(every_block.alias("block"), "g", "q", "v", F.lit(None).cast("array<bigint>").alias("ids"))
-    both = left.unionByName(right).repartition(parallelism(spark), "block", "g").sortWithinPartitions("block", "g")
+    none = [F.lit(None).cast("binary").alias(c) for c in parts]
+    left = index.select("block", every_group.alias("g"), F.lit(None).cast("long").alias("q"), F.lit(None).cast("array<double>").alias("v"), *parts)
+    right = asked.select(every_block.alias("block"), "g", "q", "v", *none)
+    both = left.unionByName(right).withColumn("late", F.col("q").isNotNull())
+    both = both.repartition(parallelism(spark), "block", "g").sortWithinPartitions("block", "g", "late").drop("late")
     found = ws.save(both.mapInArrow(search, "q long, vec_id long, score double"), "found")
+    shared.unpersist()
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ws.finish(ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
