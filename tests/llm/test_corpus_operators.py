@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, exact_dedup, jaccard_join, licenses, packing, quality, sketch, substring_dedup, suffix_dedup, warc
+from textloom.llm import ann, bpe, exact_dedup, jaccard_join, licenses, packing, quality, queries, sketch, substring_dedup, suffix_dedup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, payload string, keep_id long, entry int"
 
@@ -535,6 +535,30 @@ def test_nearest(spark):
     assert ann.nearest(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op4_suffix_dedup", "op7_warc"])
+def test_statements_on_awkward_rows(spark, tmp_path, name):
+    import duckdb
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(4000)]
+    base = [" ".join(rnd.choices(words, k=120)) for _ in range(6)]
+    texts = [None, "", "one two", "one two", "One TWO", " \t ", *base, *base[:2]]
+    texts += [base[2] + " x", "é" * 300, "aé" + "é" * 300, "ab" * 600, base[3][:500] + " \u00a0" + base[4][100:], " ".join(base), base[5].upper()]
+    near = base[0].split()
+    for i in range(4):  # a chain of near copies
+        near[20 * i + 5] = "other"
+        texts.append(" ".join(near))
+    schemas = {"documents": "doc_id long, text string, url string", "pages": "page_id long, html string, url string"}
+    for table, ddl in schemas.items():
+        spark.createDataFrame([(i, t, f"https://example.org/{i}") for i, t in enumerate(texts)], ddl).write.parquet(f"{tmp_path}/{table}.parquet")
+    db = duckdb.connect()
+    for table in schemas:
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = db.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 def _recall(found, ids, x):
     found = found.toPandas().groupby("query_id").vec_id.agg(set)
     hits = 0

@@ -92,4 +92,64 @@ WITH w AS (
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op3_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + 4], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM sets GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes sa ON sa.doc_id = a.doc_id JOIN sizes sb ON sb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, sa.n, sb.n
+  HAVING 100 * count(*) >= 75 * (sa.n + sb.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, least.component_id
+FROM w LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)""",
+    "op4_suffix_dedup": """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, p, md5(substr(x, 2 * p + 1, 800)) AS h
+  FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 399)) AS p FROM t WHERE len(x) >= 800)
+), hits AS (
+  SELECT doc_id, p FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), starts AS (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM hits
+), runs AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM starts
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM spans
+), gone AS (
+  SELECT t.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(x, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS front
+  FROM gaps JOIN t USING (doc_id) GROUP BY t.doc_id
+)
+SELECT t.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id)""",
+    "op7_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS head
+  FROM pages
+), parts AS (
+  SELECT *, [('0x' || substr(h, (10 * i + 1)::BIGINT, 10))::BIGINT for i in range(4)] AS forty FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((forty[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31))::BIGINT, 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to
+FROM parts""",
 }
