@@ -13,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, exact_dedup, jaccard_join, licenses, packing, quality, queries, sketch, substring_dedup, suffix_dedup, warc
+from textloom.llm import ann, bpe, components, exact_dedup, jaccard_join, licenses, packing, quality, queries, sketch, substring_dedup, suffix_dedup, warc
+from textloom.llm.common import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, payload string, keep_id long, entry int"
 
@@ -535,6 +536,21 @@ def test_nearest(spark):
     assert ann.nearest(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_components_of_random_links(spark):
+    rnd = random.Random(8)
+    links = [(i, i + 1) for i in range(500, 540)] + [(100, j) for j in range(200, 260)]
+    links += [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(7, 7), (600, 599), (599, 600)]
+    least = {v: v for pair in links for v in pair if pair[0] != pair[1]}
+    for _ in range(len(least)):
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    for some in (links, links[-2:], []):
+        ws = Workspace(spark, "links")
+        got = ws.finish(components.components(ws, spark.createDataFrame(some, "a long, b long"), "c")).collect()
+        assert sorted(map(tuple, got)) == sorted((v, c) for v, c in least.items() if any(v in pair for pair in some))
+
+
 @pytest.mark.parametrize("name", ["op3_jaccard_join", "op4_suffix_dedup", "op7_warc"])
 def test_statements_on_awkward_rows(spark, tmp_path, name):
     import duckdb
