@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from textloom.functions import language, text as T
+from textloom.functions import counts, fixed, language, text as T
 from textloom.operators import cleanup, gates, loop, replies, report
 from textloom.sources import pages
 
@@ -107,3 +107,21 @@ def test_sentences_are_cut_as_before(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     plain = F.filter(F.transform(F.split("t", f"(?<=[.!?]){T.WS}+"), lambda s: F.regexp_replace(s, f"^{T.WS}+|{T.WS}+\\z", "")), lambda s: s != "")
     assert rows.where(T.sentences(F.col("t")) != plain).count() == 0
+
+
+def test_counts_agree_with_patterns(spark):
+    texts = ["", "One was told. Two is　SEEN! a\x85b c\x1cd ﻿ Three\n\nget quickly done, here are: one, two, and three. ſeen K's", "We don't, I'm here. You'll be shown.\nYour nation's tions stations.\nBased on it. asa as a rule", "Sie weiß.  Ça va? : a, b, c , d\n. x", "İs it? THE PAYMENTS were made ; 'tis it's"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumns({"n": counts.prose_counts("t"), "m": counts.raw_counts("t"), "s": T.sentences(F.col("t"))})
+    c, of = F.col("t"), lambda p: F.regexp_count(F.col("t"), F.lit(p))
+    be = rf"(?i){T.BEGIN}(?:{fixed.BE_AND_GET}){T.WS}+(?:{T.WORD}+ly{T.WS}+)?{T.WORD}+(?:{fixed.PARTICIPLE_ENDINGS}){T.END}"
+    toks = F.regexp_extract_all(F.lower(c), F.lit("[a-z']+"), F.lit(0))
+    lens = lambda xs, least: F.filter(F.transform(xs, T.word_count), lambda n: n > least)
+    want = {
+        "n.words": of(f"{T.NWS}+"), "n.sents": F.size("s"), "n.lens": lens("s", 1), "n.lines": lens(F.split("t", "\n"), 3), "n.passives": of(be), "n.colon_lists": of(T.COLON_LIST),
+        "m.words": F.size(toks), "m.sents": F.size("s"), "m.lens": lens("s", 1), "m.nominal": F.size(F.filter(toks, lambda w: (F.length(w) > 6) & w.rlike(rf"(?:{fixed.NOMINAL_ENDINGS})s?\z"))),
+        "m.contractions": of(rf"(?i){T.BEGIN}{T.WORD}+'(?:{fixed.CONTRACTION_ENDINGS}){T.END}"), "m.person": of(rf"{T.BEGIN}(?:{fixed.ADDRESS_WORDS}){T.END}"),
+        "m.leads": F.size(F.filter("s", lambda s: s.rlike(rf"(?i)^(?:{fixed.RUN_UPS.replace(chr(92) + 'b', T.END)})"))),
+    }
+    for r in rows.select("t", *[F.struct(F.col(k).alias("got"), v.alias("want")).alias(k.replace(".", "_")) for k, v in want.items()]).collect():
+        for k, pair in r.asDict().items():
+            assert k == "t" or pair.got == pair.want, (r.t, k, pair)

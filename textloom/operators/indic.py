@@ -40,7 +40,8 @@ def features(df: DataFrame, prose: str = "prose", lang: str = "language") -> Dat
         _toks=T.tokens(F.col("_t")),
         words=F.greatest(F.lit(1), T.word_count(F.col("_t"))).cast("long"),
     )
-    df = rhythm(df)
+    lens, paras = F.transform("_sents", T.word_count), F.transform(F.split("_t", "\n"), T.word_count)
+    df = rhythm(df.withColumns({"_lens": F.filter(lens, lambda n: n > 1), "_paras": F.filter(paras, lambda n: n > 3)}))
     t, low, words, sents = F.col("_t"), F.col("_low"), F.col("words"), F.col("_sents")
     n = F.size(sents)
     of = lambda table: language.lexicon(table, F.col("_code"))
