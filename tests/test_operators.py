@@ -125,3 +125,32 @@ def test_counts_agree_with_patterns(spark):
     for r in rows.select("t", *[F.struct(F.col(k).alias("got"), v.alias("want")).alias(k.replace(".", "_")) for k, v in want.items()]).collect():
         for k, pair in r.asDict().items():
             assert k == "t" or pair.got == pair.want, (r.t, k, pair)
+
+
+def test_rules_run_in_one_call_and_agree_with_columns(spark):
+    texts = ["a , , b , c", "It ends  . And . . so 5 . on", "(a, b , )", "x,,,y ,, z", "रुको ,। फिर ॥", "no \t; tab , here", "", "a ,,। b , )"]
+    rows = spark.createDataFrame([(t, lang) for t in texts for lang in ("fr", None)], "text string, language string")
+    for r in cleanup.mechanics(cleanup.apply_rules(rows).withColumnRenamed("cleaned", "ruled")).collect():
+        if not any(c.isdigit() for c in r.text):  # rules leave protected spans alone
+            assert r.ruled == r.cleaned, r
+            assert {e["rule"]: e["count"] for e in r.edits} == {k: n for k, n in (("sp_punct_1k", r.n_spaces), ("comma_1k", r.n_commas)) if n}, r
+    plan = cleanup.apply_rules(rows)._jdf.queryExecution().optimizedPlan().toString().lower()
+    # patterns had been asked for in columns, which worked the same chain out several times
+    assert "regexp" not in plan and plan.count("arrowevalpython") == 1
+
+
+def test_a_known_text_keeps_its_report(spark):
+    held = {"doc_id": 1, "language": "en", "now_objective": 7.0, "now_ai_likeness": 8.0}
+    held |= {f"now_{k}": ["kept"] for k in ("defects", "targets")}
+    df = one(spark, **held).withColumn("now_flags", F.array().cast("array<struct<severity:string,kind:string,phrase:string>>"))
+    for now, then, same in (("A b c.", "A b c.", True), ("A b c.", "A b d.", False), (None, "A b.", False), ("A b.", "", False), (None, None, True)):
+        row = df.withColumns({"a": F.lit(now).cast("string"), "b": F.lit(then).cast("string")})
+        r = loop._evaluated(row, "b", "a", "new_").first()
+        assert (r.new_objective == 7.0 and r.new_defects == ["kept"]) is same, (now, then)
+
+
+def test_hinglish_markers_stand_alone(spark):
+    cases = [("yeh hai aur kya", "hinglish"), ("hai,yeh. kya!", "en"), ("hai yeh. kya", "hinglish"), ("human chai maurya karma", "en"), ("xhai yehx kya aurx", "en"), ("ke liye aap hum", "hinglish"), ("\U0001f600hai yeh kya", "en")]
+    df = spark.createDataFrame(cases, "prose string, want string")
+    for r in language.detect(df).collect():
+        assert r.language == r.want, r

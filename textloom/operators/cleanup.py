@@ -10,13 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, spans, text as T
-from .gates import unmask
-
-# Fixed values. (pattern, replacement) of stray spaces before punctuation, and of redundant commas.
-SPACED = [(f"({T.NWS})[ \\t]+([,;:!?।॥])", "$1$2"), (f"([^{T.SPACE}.0-9])[ \\t]+\\.(?={T.WS}|\\z)", "$1.")]
-COMMAS = [(f",{T.WS}*([।॥])", "$1"), (",{2,}", ","), (rf",({T.WS}*[)\]])", "$1")]
-HINDI_THROUGH = (f"{T.WS}*के{T.WS}+माध्यम{T.WS}+से", " से")
+from ..functions import counts, fixed, text as T
+from ..functions.counts import COMMAS, SPACED
 
 
 def _apply(df: DataFrame, column: str, count: str, steps: list[tuple[str, str]]) -> DataFrame:
@@ -33,6 +28,8 @@ def mechanics(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 EDITS = "array<struct<rule:string,count:int>>"
+#: Names of the edits, and of their counts.
+RULES = [("sp_punct_1k", "spaces"), ("comma_1k", "commas"), ("openers", "openers"), ("phrases", "replaced"), ("prep_calque_1k", "through")]
 
 
 def suggestions(text: Column) -> Column:
@@ -44,24 +41,10 @@ def suggestions(text: Column) -> Column:
 def apply_rules(df: DataFrame, text: str = "text", lang: str = "language", aggressive: bool = False) -> DataFrame:
     """Adds cleaned, changed, edits (rule and count) and suggestions."""
     kept = df.columns
-    df = df.withColumn("_source", F.coalesce(F.col(text), F.lit(""))).withColumn("_mask", spans.mask("_source"))
-    df = df.withColumn("_cur", F.col("_mask.masked"))
-    df = _apply(_apply(df, "_cur", "_spaces", SPACED), "_cur", "_commas", COMMAS)
-    english = F.col(lang) == "en"
-    df = df.withColumn("_en", spans.clean_english(F.when(english, F.col("_cur"))))
-    pattern, to = HINDI_THROUGH
-    calque = (F.col(lang) == "hi") & F.lit(aggressive)
-    df = df.withColumn("_through", F.when(calque, T.count_matches(F.col("_cur"), pattern)).otherwise(F.lit(0)))
-    done = F.when(english, F.col("_en.text")).when(calque, F.regexp_replace("_cur", pattern, to)).otherwise(F.col("_cur"))
-    df = df.withColumn("cleaned", unmask(done, F.col("_mask.raws")))
-    counts = [
-        ("sp_punct_1k", F.col("_spaces")),
-        ("comma_1k", F.col("_commas")),
-        ("openers", F.when(english, F.col("_en.openers"))),
-        ("phrases", F.when(english, F.col("_en.replaced"))),
-        ("prep_calque_1k", F.col("_through")),
-    ]
-    edits = F.array_compact(F.array(*[F.when(n > 0, F.struct(F.lit(rule).alias("rule"), n.cast("int").alias("count"))) for rule, n in counts]))
-    return df.withColumns({"changed": F.col("cleaned") != F.col("_source"), "edits": edits.cast(EDITS), "suggestions": suggestions(F.col("_source"))}).select(
+    df = df.withColumn("_source", F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_rules", counts.clean_up("_source", F.col(lang), F.lit(aggressive)))
+    done = [(rule, F.col(f"_rules.{name}")) for rule, name in RULES]
+    edits = F.array_compact(F.array(*[F.when(n > 0, F.struct(F.lit(rule).alias("rule"), n.alias("count"))) for rule, n in done]))
+    return df.withColumn("cleaned", F.col("_rules.text")).withColumns({"changed": F.col("cleaned") != F.col("_source"), "edits": edits.cast(EDITS), "suggestions": suggestions(F.col("_source"))}).select(
         *kept, "cleaned", "changed", "edits", "suggestions"
     )

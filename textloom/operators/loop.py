@@ -20,12 +20,15 @@ PASS = ["doc_id", "n", "kind", "accepted", "rejected_by", "text", "objective", "
 _EVAL = ["objective", "ai_likeness", "defects", "targets", "flags"]
 
 
-def _evaluated(df: DataFrame, text: str, prefix: str) -> DataFrame:
+def _evaluated(df: DataFrame, text: str, known: str, prefix: str) -> DataFrame:
+    """Adds the report of a text; where it is the ``known`` one, that is what ``now_`` columns hold, and nothing is measured."""
     kept = df.columns
+    df = T.settled(df, _new=F.when(~F.col(text).eqNullSafe(F.col(known)), F.coalesce(text, F.lit(""))))
     # the report has columns of its own that df may hold from an earlier one
     held = {c: f"_held_{c}" for c in report.COMMON if c in kept}
-    out = report.evaluate(df.withColumnsRenamed(held), text, "language")
-    return out.select(*[F.col(held.get(c, c)).alias(c) for c in kept], *[F.col(c).alias(f"{prefix}{c}") for c in _EVAL])
+    out = report.evaluate(df.withColumnsRenamed(held), "_new", "language")
+    found = [F.when(F.col("_new").isNotNull(), F.col(c)).otherwise(F.col(f"now_{c}")).alias(f"{prefix}{c}") for c in _EVAL]
+    return out.select(*[F.col(held.get(c, c)).alias(c) for c in kept], *found)
 
 
 def _gain(prefix: str):
@@ -41,8 +44,8 @@ def run_loop(spark: SparkSession, docs: DataFrame, answers: DataFrame, max_calls
     """
     first = report.evaluate(docs.select("doc_id", "text", "glossary"), "text")
     first = first.select("doc_id", F.col("text").alias("original"), "glossary", "language", "calibrated", *[F.col(c).alias(f"now_{c}") for c in _EVAL])
-    ruled = cleanup.apply_rules(first, "original", "language", aggressive)
-    ruled = _evaluated(ruled, "cleaned", "new_")
+    ruled = cleanup.apply_rules(first, "original", "language", aggressive).drop("edits", "suggestions")
+    ruled = _evaluated(ruled, "cleaned", "original", "new_")
     better = F.when(F.col("calibrated"), F.col("new_objective") < F.col("now_objective")).otherwise(F.size("new_defects") <= F.size("now_defects"))
     ruled = written(spark, ruled.withColumn("accepted", F.col("changed") & better), "loop-rules")
     passes = ruled.select(
@@ -73,9 +76,9 @@ def run_loop(spark: SparkSession, docs: DataFrame, answers: DataFrame, max_calls
         ).drop("_got", "_mask", "reply")
         step = gates.run_gates(step)
         failed = F.coalesce(F.col("_early"), F.when(F.col("gate") < 9, F.concat(F.lit("gate "), F.col("gate").cast("string"), F.lit(" ("), F.col("gate_name"), F.lit(")"))))
-        # what has failed is scored as the current text, which costs no more and says nothing
+        # what has failed isn't scored: it counts as the current text, which says nothing
         step = step.withColumn("_failed", failed).withColumn("_try", F.when(F.col("_failed").isNull(), F.col("candidate")).otherwise(F.col("current")))
-        step = _evaluated(step, "_try", "new_")
+        step = _evaluated(step, "_try", "current", "new_")
         traded = F.size(gates.defects_gained(F.col("now_defects"), F.col("new_defects"))) > 0
         why = F.coalesce(F.col("_failed"), F.when(traded, F.lit("gate 8 (defect-trade)")), F.when(~_gain("new_"), F.lit("gate 9 (no gain)")))
         step = written(spark, step.withColumn("rejected_by", why).withColumn("accepted", why.isNull()), f"loop-{call}")
