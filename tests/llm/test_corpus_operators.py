@@ -6,6 +6,7 @@ import io
 import os
 import random
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -682,3 +683,21 @@ def test_pipeline_decides_on_rows(spark, tmp_path):
     spark.createDataFrame([(i, 0, 0) for i in range(100, 160)] + [(i, 1, 0) for i in range(200, 260)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame(bad + good, docs.schema).repartition(3)
     assert sorted(map(tuple, corpus_pipeline.filter_quality(spark, docs, str(tmp_path)).collect()), key=repr) == sorted(good, key=repr)
+
+
+def test_op3_shuffles_sets_once_for_both_sides_of_a_pair(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        sets = [(i, np.arange(i, i + 40, dtype=np.uint64).tobytes(), 40) for i in range(12)]
+        where = tempfile.mkdtemp()
+        spark.createDataFrame(sets, "s long, payload binary, n long").write.mode("overwrite").parquet(where)
+        pairs = spark.createDataFrame([(0, 1), (0, 11), (3, 8)], "a long, b long")
+        found = jaccard_join._verified(pairs, spark.read.parquet(where), 3, 4)
+        assert {(r.a, r.b) for r in found.collect()} == {(0, 1)}
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

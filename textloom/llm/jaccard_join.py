@@ -20,7 +20,7 @@ all pairs are made: each member is verified against the leader it shares most
 signatures with, in rounds with different leaders, and lists shrink to those that
 still hold members of different components.  Further rounds verify each set against
 the closest one of another component in a few of its lists, until no components
-join.  Then every pair across components that shares a signature is looked at, so no
+join, or hardly any.  Then every pair across components that shares a signature is looked at, so no
 link that could join components is lost: first by its parity bitmaps, which differ in at most as many bits as the sets differ
 in elements, and, if they allow the link, exactly.  Lists are kept by block of
 documents, and each block reports a signature once, so a list that a third of all
@@ -63,8 +63,8 @@ PER_BUCKET = 1_000_000
 LIST_BLOCK = 1_250_000
 #: Rounds of leaders before single pairs.
 ROUNDS = 2
-#: At most so many rounds of closest sets, looking into so many of a set's lists.
-CLOSEST_ROUNDS, HOMES = 6, 4
+#: At most so many rounds of closest sets, looking into so many of a set's lists; one that finds under a part in so many sets is the last.
+CLOSEST_ROUNDS, HOMES, FEW = 6, 4, 200
 #: Sets whose 128-bit keys differ though their first halves are equal; more would be no chance.
 CLASHES = 10_000
 #: Bits of a set's parity bitmap.
@@ -305,7 +305,6 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         again = ws.save(rest.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_relabel(buckets, turn + 1), _ROW_DDL), f"again{turn}", ["kind"])
         return again.where(f"kind = {_LIST}").select("src", "payload"), again.where(f"kind = {_SUM}").select("bucket", "payload"), again.where(f"kind = {_HAS}").select("s").distinct()
 
-    found = sets  # anything but None: the closest sets haven't been asked for yet
     for turn in range(1, ROUNDS + 1):
         answers = settle(turn)
         ws.drop(f"{base}/kind={_SUM}", f"again{turn - 1}/kind={_SUM}")
@@ -322,11 +321,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         # sets whose lists are all closed have no further links to find
         sets = ws.save(sets.join(live, "s", "left_semi"), f"sets{turn}")
         ws.drop(f"star{turn}", f"found{turn}", f"sets{turn - 1}")
-    turn = ROUNDS
+    turn, few, tried = ROUNDS, False, None
+    live = sets.count() if lists is not None else 0
     while lists is not None:
         # what is left: pairs across components in a signature's list; the closest ones first, all in the end
         turn += 1
-        closest = turn <= ROUNDS + CLOSEST_ROUNDS and found is not None
+        closest = turn <= ROUNDS + CLOSEST_ROUNDS and not few
         answers = settle(turn)
         none = F.lit(None).cast("long")
         both = has.select("src", F.lit(0).alias("late"), "payload", "s", "n")
@@ -335,16 +335,21 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         rest = both.repartition(tasks, "src").sortWithinPartitions("src", "late").mapInArrow(_open_rows(buckets, turn), "bucket int, payload binary")
         rest = ws.save(rest, f"open{turn}")
         pairs = rest.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_cross(num, den, closest), "a long, b long").distinct()
-        found = ws.save(_verified(pairs, sets, num, den), f"found{turn}")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")  # those that were no links, or are joined now
+        pairs = ws.save(pairs, f"pairs{turn}")
         ws.drop(f"answers{turn}", f"open{turn}")
-        if found.limit(1).count():
+        found = ws.save(_verified(pairs, sets, num, den), f"found{turn}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = found.count()
+        if new:
             labels = joined(found, f"round{turn}")
             ws.drop(f"found{turn}")
-        else:
-            found = None
         if not closest:
             break
-        if found is not None:
+        # a further round asks for all sets again, so a share of them decides, whatever their number
+        few = new * FEW < live
+        if new:
             lists, sums, _ = renamed(lists, turn)
             ws.drop(f"again{turn - 1}")
 
@@ -722,7 +727,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, b, x, m, y, n in zip(*rows_of(batch, "a", "b", "x", "m", "y", "n")):
+            for a, b, x, m, y, n in zip(*rows_of(batch, "a", "b", "x", "m", "y", "o")):
                 left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.concatenate((left, right))
                 both.sort()
@@ -732,8 +737,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             if out:
                 yield to_batch(schema, list(zip(*out)))
 
+    # both sides are the same columns under other names, all of them renamed: so Spark shuffles the sets once and reads them twice
     left = sets.select(F.col("s").alias("a"), F.col("payload").alias("x"), F.col("n").alias("m"))
-    right = sets.select(F.col("s").alias("b"), F.col("payload").alias("y"), "n")
+    right = sets.select(F.col("s").alias("b"), F.col("payload").alias("y"), F.col("n").alias("o"))
     # sizes alone rule out some pairs
-    near = (F.least("m", "n") * den) >= (F.greatest("m", "n") * num)
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "m", "y", "n").mapInArrow(run, "a long, b long")
+    near = (F.least("m", "o") * den) >= (F.greatest("m", "o") * num)
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "m", "y", "o").mapInArrow(run, "a long, b long")
