@@ -694,7 +694,7 @@ def test_op3_shuffles_sets_once_for_both_sides_of_a_pair(spark):
         sets = [(i, np.arange(i, i + 40, dtype=np.uint64).tobytes(), 40) for i in range(12)]
         where = tempfile.mkdtemp()
         spark.createDataFrame(sets, "s long, payload binary, n long").write.mode("overwrite").parquet(where)
-        pairs = spark.createDataFrame([(0, 1), (0, 11), (3, 8)], "a long, b long")
+        pairs = spark.createDataFrame([(0, 1), (0, 11), (3, 9)], "a long, b long")
         found = jaccard_join._verified(pairs, spark.read.parquet(where), 3, 4)
         assert {(r.a, r.b) for r in found.collect()} == {(0, 1)}
         assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
