@@ -154,3 +154,11 @@ def test_hinglish_markers_stand_alone(spark):
     df = spark.createDataFrame(cases, "prose string, want string")
     for r in language.detect(df).collect():
         assert r.language == r.want, r
+
+
+def test_the_loop_runs_on_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(loop, "_passes", lambda s, *_: seen.append(s.conf.get(key)))
+    loop.run_loop(spark, None, None)
+    assert int(seen[0]) <= 500 and spark.conf.get(key) == before

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans, text as T
-from ..plans.shared import written
+from ..plans.shared import small_batches, written
 from . import cleanup, gates, replies, report
 
 #: Stop at this objective, after so many calls, or so many rejections in a row; a pass must gain so much.
@@ -42,6 +42,11 @@ def run_loop(spark: SparkSession, docs: DataFrame, answers: DataFrame, max_calls
 
     A missing reply counts as a failed call.
     """
+    with small_batches(spark):
+        return _passes(spark, docs, answers, max_calls, target, aggressive)
+
+
+def _passes(spark: SparkSession, docs: DataFrame, answers: DataFrame, max_calls: int, target: float, aggressive: bool) -> DataFrame:
     first = report.evaluate(docs.select("doc_id", "text", "glossary"), "text")
     first = first.select("doc_id", F.col("text").alias("original"), "glossary", "language", "calibrated", *[F.col(c).alias(f"now_{c}") for c in _EVAL])
     ruled = cleanup.apply_rules(first, "original", "language", aggressive).drop("edits", "suggestions")
